@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprints, language_id, mixing
+from . import chat_format, decontaminate, fingerprints, language_id, mixing, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
     "op2_chat_format": chat_format.query,
     "op3_scaled_sketch": fingerprints.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_mix_sources": mixing.query,
+    "op10_simhash_dedup": near_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat_format.SQL, "op5_mix_sources": mixing.SQL}
