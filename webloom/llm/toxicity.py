@@ -87,7 +87,7 @@ class Model:
         return out
 
 
-def fit(x: list[np.ndarray], y: np.ndarray, features: np.ndarray, ratios: np.ndarray, l2: float = 0.5, rounds: int = 400) -> Model:
+def fit(x: list[np.ndarray], y: np.ndarray, features: np.ndarray, ratios: np.ndarray, l2: float = 0.5, rounds: int = 100, tolerance: float = 1e-4) -> Model:
     """Logistic regression on rows of feature positions x (into features), scaled by ratios, by accelerated gradient descent."""
     row = np.repeat(np.arange(len(x)), [len(at) for at in x])
     col = np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
@@ -111,8 +111,11 @@ def fit(x: list[np.ndarray], y: np.ndarray, features: np.ndarray, ratios: np.nda
         t = 0 if loss > least else t + 1  # restart where momentum overshoots
         momentum = (t / (t + 3)) * (new - w)
         w, step = new, step * 1.2
+        done = abs(least - loss) < tolerance * loss
         if loss < least:
             least, best = loss, new
+        if done:
+            break
     return Model(features, (best[:-1] * ratios).astype(np.float32), float(best[-1]))
 
 
