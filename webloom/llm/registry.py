@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, language_id, mixing, near_dedup, toxicity
+from . import chat_format, decontaminate, fingerprints, language_id, mixing, near_dedup, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": decontaminate.query,
     "op5_mix_sources": mixing.query,
     "op6_toxicity": toxicity.query,
+    "op7_pii": pii.query,
     "op10_simhash_dedup": near_dedup.query,
 }
 
