@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, language_id, mixing, near_dedup, pii, toxicity
+from . import chat_format, decontaminate, fingerprints, language_id, mixing, near_dedup, pii, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": mixing.query,
     "op6_toxicity": toxicity.query,
     "op7_pii": pii.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op10_simhash_dedup": near_dedup.query,
 }
 
