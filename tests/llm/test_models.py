@@ -1,0 +1,108 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from webloom.llm import pii, toxicity
+
+from .cases import LONG, awkward, empty
+
+DATA = "/root/testdata/sf0.1"
+
+
+def test_toxic_documents_held_out(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    model = toxicity.train(docs, labels.where(~odd))
+    found = toxicity.toxic(docs, model).select("doc_id", F.lit(1).alias("found"))
+    t = labels.where(odd).join(found, "doc_id", "left").groupBy("toxic", F.coalesce("found", F.lit(0)).alias("found")).count().collect()
+    n = {(r.toxic, r.found): r["count"] for r in t}
+    assert n[1, 1] >= 0.95 * (n[1, 1] + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.02 * (n.get((0, 1), 0) + n[0, 0])
+
+
+def test_scores_by_brute_force():
+    table = {b"x": 1}
+    r = np.random.default_rng(0)
+    texts = [None, "", "Some Words, and MORE words: naïve 漢字", LONG, "a b c"]
+    features = np.sort(r.choice(1 << toxicity.BITS, 400_000, replace=False))
+    model = toxicity.Model(features, r.standard_normal(len(features)).astype(np.float32), -0.5)
+    weight = dict(zip(features.tolist(), model.weights.tolist()))
+    got = model.scores(pa.array(texts))
+    for t, g in zip(texts, got):
+        seen = set()
+        if t:
+            c = [ord(x) if toxicity._letters()[min(ord(x), 0xFFFF)] else 0 for x in "\0" + t.lower() + "\0"]
+            for n in toxicity.ORDERS:
+                for k in range(len(c) - n + 1):
+                    gram = c[k : k + n]
+                    if 0 in gram[1:-1]:
+                        continue
+                    h = gram[0]
+                    for x in gram[1:]:
+                        h = (h * 0x01000193 + x) & 0xFFFFFFFF
+                    seen.add((((h ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+        assert g == pytest.approx(-0.5 + sum(weight.get(f, 0) for f in seen), abs=1e-2)
+    assert table
+
+
+def test_toxicity_awkward(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(1, 1), (4, 0), (6, 0), (None, 1), (2, 1), (3, None), (6, 0)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+    assert not {r.doc_id for r in toxicity.toxic(docs, model).collect()} & {2, 3}
+    for some in (labels.where("false"), labels.where("toxic = 0"), labels.where("toxic = 1")):
+        none = toxicity.train(docs, some)
+        assert toxicity.toxic(docs, none).count() == 0 and toxicity.keep_clean(docs, none).count() == docs.count()
+    assert toxicity.toxic(empty(spark), model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def net():
+    return pii.train()
+
+
+def test_gradients():
+    net = pii.Network(4, 1)
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, pii.CLASSES, (9, 3)), r.integers(0, pii.TAGS, (9, 3))
+    _, g = net.gradients(x, y)
+    for name in net.w:
+        at = tuple(r.integers(0, n) for n in net.w[name].shape) if name[0] != "x" else (x[2, 1], 5)
+        old, losses = net.w[name][at], []
+        for e in (1e-2, -1e-2):
+            net.w[name][at] = old + e
+            losses.append(net.gradients(x, y)[0])
+        net.w[name][at] = old
+        assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(float(g[name][at]), abs=5e-3)
+
+
+def test_private_values_held_out(net):
+    text, spans = pii.labelled(np.random.default_rng(77), 120_000)
+    found = pii.spans_in([text], net)[0]
+    exact = len(set(found) & set(spans))
+    assert exact >= 0.9 * len(spans) and exact >= 0.9 * len(found)
+
+
+def test_windows_and_gate(net):
+    r = np.random.default_rng(5)
+    texts = [pii.labelled(r, n)[0] for n in (10, 95, 97, 400, 5000)] + [None, "", "x" * 500 + " mail me at someone.else@example.org now " + "y" * 500]
+    gated, every = pii.spans_in(texts, net), pii.spans_in(texts, net, gated=False)
+    assert gated == every
+    assert [texts[7][a:b] for a, b, k in gated[7] if pii.KINDS[k] == "email"] == ["someone.else@example.org"]
+    alone = {k: s for k, t in enumerate(texts) for s in [pii.spans_in([t], net).get(0)] if s}
+    assert alone == gated
+
+
+def test_private_awkward(spark, net):
+    docs = awkward(spark)
+    assert pii.redacted(docs, net).columns == docs.columns and pii.redacted(docs, net).count() == docs.count()
+    kept = {r.doc_id: r.text for r in pii.redacted(docs, net).collect()}
+    assert kept[2] is None and kept[3] == "" and kept[1] == docs.where("doc_id = 1").first().text
+    assert pii.private(empty(spark), net).count() == 0
+    one = spark.createDataFrame([(random.randrange(9), "write to jane.doe42@mail.example.com, or call (555) 123-4567.")], "doc_id bigint, text string")
+    got = pii.redacted(one, net).first().text
+    assert "jane" not in got and "4567" not in got and got.startswith("write to [EMAIL]")

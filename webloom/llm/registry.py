@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprints, language_id, mixing, near_dedup, pii, suffix_dedup, toxicity
+from . import chat_format, decontaminate, fingerprints, language_id, language_model, mixing, near_dedup, pii, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.query,
     "op7_pii": pii.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op9_perplexity": language_model.query,
     "op10_simhash_dedup": near_dedup.query,
 }
 
