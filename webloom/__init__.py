@@ -1 +1 @@
-"""Web-graph analytics on PySpark."""
+"""Web-graph queries and training-data operators on PySpark."""

@@ -27,6 +27,7 @@ _ENDS = {
     "a": (frozenset(["a"]), _BLOCK | {"td", "th", "li"}),
 }
 _WALL = frozenset(["td", "th", "table", "body", "html"])
+_TABLE = frozenset(["tr", "td", "th", "tbody", "tfoot"])
 
 
 class Node:
@@ -165,7 +166,7 @@ class _Builder(HTMLParser):
                 if self.stack[k].name in ends:
                     del self.stack[k:]
                     break
-                if self.stack[k].name in walls or self.stack[k].name in _WALL - ends:
+                if self.stack[k].name in (walls if tag in _TABLE else walls | _WALL):
                     break
         n = self._open(tag)
         self._attributes(n, attrs)
