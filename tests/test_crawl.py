@@ -13,7 +13,7 @@ def web(spark, pages, **columns):
 
 
 def links(*hrefs, main=False):
-    inner = "".join(f"<a href='{h}'>{h[0].upper()}{h[1:2].strip('.')}</a>" for h in hrefs)
+    inner = "".join(f"<a href='{h}'>{h[:1].upper()}{h[1:2].strip('.')}</a>" for h in hrefs)
     return f"<html><body>{'<main>' if main else ''}{inner}{'</main>' if main else ''}</body></html>"
 
 

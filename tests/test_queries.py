@@ -1,4 +1,5 @@
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -49,4 +50,4 @@ def test_nothing_outside_imports_the_text_operators():
     root = Path(engine.__file__).parent
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
-            assert "llm" not in p.read_text(), p
+            assert not re.search(r"\bllm\b", p.read_text()), p

@@ -75,13 +75,13 @@ def _links(scope: str | None, links: str, item: Node, page: Page, memo: dict) ->
                     continue
 
 
-def run_page(program: Program, pc: int, expand: int, page: Page, document: Node | None, follow: bool = True) -> list[_Row]:
+def run_page(program: Program, pc: int, expand: int, page: Page, document: Node, follow: bool = True) -> list[_Row]:
     """Values and links of a page that was reached at step pc; expand is the closure (its step, or -2 for the seed's follow) that
     goes on from here, -1 for none. Without follow no links are looked for. What follows a page comes before what extends the closure."""
     memo: dict = {}
     out: list[_Row] = []
     steps = program.steps
-    root = document if document is None else next((n for n in document.children if n.kind == "element"), document)
+    root = next((n for n in document.children if n.kind == "element"), document)
     if pc == len(steps):
         out.append(_Row("data", as_text(root)))
     else:
@@ -107,14 +107,13 @@ def _page_function(program: Program, hooks: Sequence[Hooks], max_depth: int) ->
     def rows(r: dict) -> Iterator[tuple]:
         page = Page(r["url"], r["depth"], r["backlink"], r["status"], r["latency"])
         base = (page.url, page.depth, page.backlink)
-        html, document = r["html"], None
+        html = r["html"]
         try:
             for h in hooks:
                 html = h.post_fetch(page, html)
                 if not html:
                     return
-            if needs_tree:
-                document = parse_html(html)
+            document = parse_html(html) if needs_tree else Node("document")
             for h in hooks:
                 document = h.post_parse(page, document)
                 if document is None:

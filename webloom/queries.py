@@ -50,7 +50,7 @@ _xpath("page_link_last", "(//a/@href)[last()]", f"select url, value from {_EACH}
 _xpath("page_links_after_first", "//nav//li[position() > 1]/a/@href", f"select url, value from {_EACH} where k > 1")
 _xpath("page_link_count", "count(//nav//a)", f"select url, len({_HREFS})::varchar as value from pages")
 _xpath("page_link_join", "string-join(//a/@href, '|')", f"select url, array_to_string({_HREFS}, '|') as value from pages")
-_xpath("page_link_letters", "for $h in //a/@href return upper-case(substring($h, 2, 1))", f"select url, upper(substr(value, 2, 1)) as value from {_EACH}")
+_xpath("page_link_letters", "for $h in //a/@href return lower-case(substring($h, 2, 1))", f"select url, lower(substr(value, 2, 1)) as value from {_EACH}")
 _xpath("page_link_lengths", "sum(//a/@href/string-length())", f"select url, sum(length(value))::varchar as value from {_EACH} group by url")
 _xpath("page_link_sorted", "sort(//a/@href/string())[1]", f"select url, min(value) as value from {_EACH} group by url")
 _xpath("page_link_some", "some $h in //a/@href satisfies string-length($h) > 8", f"select url, (max(length(value)) > 8)::varchar as value from {_EACH} group by url")
