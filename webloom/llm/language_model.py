@@ -19,6 +19,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,27 +70,77 @@ def _added(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length each, with their lengths before them."""
-    return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    """Arrays of one length each, compressed by planes of their bytes, with the lengths of both before them."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    parts = [press(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in map(np.ascontiguousarray, arrays)]
+    return b"".join([np.array([[len(a), len(b)] for a, b in zip(arrays, parts)], np.int64).tobytes(), *parts])
 
 
 def _unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(blob, np.int64, len(kinds)), 8 * len(kinds), []
-    for n, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += int(n) * np.dtype(kind).itemsize
+    sizes, at, out = np.frombuffer(blob, np.int64, 2 * len(kinds)).reshape(-1, 2), 16 * len(kinds), []
+    for (n, size), kind in zip(sizes.tolist(), kinds):
+        wide = np.dtype(kind).itemsize
+        raw = zstandard.ZstdDecompressor().decompress(blob[at : at + size], max_output_size=n * wide) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, n).T).reshape(-1).view(kind))
+        at += size
     return out
 
 
-def _sent(shard: np.ndarray, parts: int, *arrays: np.ndarray) -> list[tuple[int, bytes]]:
-    """Rows packed by shard, in their order."""
+def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A small number for each distinct word of some columns, the lowest for the most frequent: words in order, the number of each,
+    the words that occur twice or more by number, and the gaps between the others."""
+    words, count = np.unique(np.concatenate(columns), return_counts=True)
+    often = np.flatnonzero(count > 1)
+    order = np.concatenate((often[np.argsort(-count[often], kind="stable")], np.flatnonzero(count == 1)))
+    number = np.empty(len(words), _U32)
+    number[order] = np.arange(len(words), dtype=_U32)
+    return words, number, words[order[: len(often)]], np.diff(words[order[len(often) :]], prepend=_U32(0))
+
+
+def _named(often: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """The word of each number."""
+    return np.concatenate((often, np.cumsum(gaps, dtype=_U32)))
+
+
+def _sent_pairs(shard: np.ndarray, parts: int, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
+    """Rows of two words and a number, packed by shard."""
     order = np.argsort(shard, kind="stable")
     cut = np.searchsorted(shard[order], np.arange(parts + 1))
-    return [(int(p), _packed(*(a[order[cut[p] : cut[p + 1]]] for a in arrays))) for p in np.flatnonzero(np.diff(cut))]
+    out = []
+    for p in np.flatnonzero(np.diff(cut)):
+        at = order[cut[p] : cut[p + 1]]
+        words, number, often, gaps = _numbered(v[at], w[at])
+        of_v = number[np.searchsorted(words, v[at])]
+        by = np.argsort(of_v, kind="stable")
+        at = at[by]
+        out.append((int(p), _packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), number[np.searchsorted(words, w[at])], n[at])))
+    return out
+
+
+def _pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    often, gaps, v, w, n = _unpacked(blob, *[_U32] * 5)
+    name = _named(often, gaps)
+    return name[np.cumsum(v, dtype=_U32)], name[w], n
+
+
+def _sent(shard: np.ndarray, parts: int, words: np.ndarray, *numbers: np.ndarray) -> list[tuple[int, bytes]]:
+    """Rows of a word and numbers, packed by shard."""
+    order = np.lexsort((words, shard))
+    cut = np.searchsorted(shard[order], np.arange(parts + 1))
+    out = []
+    for p in np.flatnonzero(np.diff(cut)):
+        at = order[cut[p] : cut[p + 1]]
+        out.append((int(p), _packed(np.diff(words[at], prepend=_U32(0)), *(x[at] for x in numbers))))
+    return out
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after the other."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
 def trigram_blobs(tok: np.ndarray, begin: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """Counted trigrams by the shard of their context: contexts v, u, their numbers of followers, followers, counts."""
+    """Counted trigrams by the shard of their context: words by number, contexts (v, u), their numbers of followers, followers, counts."""
     n = np.diff(begin)
     live = np.repeat(n, n)
     inside = np.arange(len(tok)) - np.repeat(begin[:-1], n)
@@ -113,9 +164,12 @@ def trigram_blobs(tok: np.ndarray, begin: np.ndarray, parts: int) -> list[tuple[
     out = []
     for p in np.flatnonzero(np.diff(cut)):
         c = order[cut[p] : cut[p + 1]]
-        s = size[c]
-        rows = np.repeat(head[c] - np.concatenate(([0], np.cumsum(s)[:-1])), s) + np.arange(s.sum())
-        out.append((int(p), _packed(v[c], u[c], s.astype(_U32), w[rows], count[rows])))
+        words, number, often, gaps = _numbered(v[c], u[c], w[_ranges(head[c], size[c])])
+        of_v = number[np.searchsorted(words, v[c])]
+        by = np.argsort(of_v, kind="stable")
+        c = c[by]
+        rows = _ranges(head[c], size[c])
+        out.append((int(p), _packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), number[np.searchsorted(words, u[c])], size[c].astype(_U32), number[np.searchsorted(words, w[rows])], count[rows])))
     return out
 
 
@@ -204,10 +258,13 @@ _BLOCK = 32
 
 def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tuple[int, bytes]]:
     """Writes shard p of contexts and followers; what it tells of bigrams: v, w, number of left contexts, by shard."""
-    got = [_unpacked(b, _U32, _U32, _U32, _U32, _U32) for b in blobs]
-    ctx = np.concatenate([np.repeat((v.astype(U64) << U64(32)) | u.astype(U64), n) for v, u, n, _, _ in got])
-    w = np.concatenate([g[3] for g in got])
-    count = np.concatenate([g[4] for g in got]).astype(np.int64)
+    got = []
+    for b in blobs:
+        often, gaps, v, u, n, w, c = _unpacked(b, *[_U32] * 7)
+        name = _named(often, gaps)
+        got.append((np.repeat((name[np.cumsum(v, dtype=_U32)].astype(U64) << U64(32)) | name[u].astype(U64), n), name[w], c))
+    ctx, w, count = (np.concatenate(x) for x in zip(*got))
+    count = count.astype(np.int64)
     order = np.lexsort((w, ctx))
     ctx, w, count = ctx[order], w[order], count[order]
     first = _runs(ctx, w)
@@ -220,13 +277,15 @@ def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tup
     by = np.argsort(key)
     size = np.diff(np.append(head, len(ctx)))
     n1, n2, n3, total = (_added(x.astype(np.int64), head)[by] for x in (real & (count == 1), real & (count == 2), real & (count > 2), np.where(real, count, 0)))
-    rows = np.repeat(head[by] - np.concatenate(([0], np.cumsum(size[by])[:-1])), size[by]) + np.arange(len(ctx))
+    rows = _ranges(head[by], size[by])
     rows = rows[real[rows]]
     k = key[by]
     save(place, f"ctx-{p}-hi", (k >> U64(32)).astype(_U32))
     save(place, f"ctx-{p}-lo", ((k >> U64(24)) & U64(255)).astype(np.uint8))
-    for name, x in (("n1", n1), ("n2", n2), ("n3", n3), ("total", total)):
+    for name, x in (("n1", n1), ("n2", n2), ("n3", n3)):
         _save_counts(place, f"ctx-{p}-{name}", x)
+    more = np.flatnonzero(n3)  # other totals follow from n1 and n2
+    save(place, f"ctx-{p}-total", np.stack((more, total[more])))
     save(place, f"ctx-{p}-first", np.concatenate(([0], np.cumsum(n1 + n2 + n3)))[::_BLOCK].astype(np.int64))
     save(place, f"next-{p}-hi", (w[rows] >> _U32(16)).astype(np.uint16))
     save(place, f"next-{p}-lo", ((w[rows] >> _U32(8)) & _U32(255)).astype(np.uint8))
@@ -239,7 +298,7 @@ def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tup
     both, told = both[order], told[order]
     first = _runs(both)
     v, w, told = (both[first] >> U64(32)).astype(_U32), both[first].astype(_U32), _added(told, first).astype(_U32)
-    return _sent(shard_of(pair(v, w), parts), parts, v, w, told)
+    return _sent_pairs(shard_of(pair(v, w), parts), parts, v, w, told)
 
 
 def find(place: str, p: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +319,7 @@ def find(place: str, p: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def add_bigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tuple[int, bytes]]:
     """Writes the left contexts of shard p's bigrams; what it tells of words, by shard: word, as first word total and numbers of 1, 2, more; left contexts as second."""
-    got = [_unpacked(b, _U32, _U32, _U32) for b in blobs]
+    got = [_pairs(b) for b in blobs]
     both = np.concatenate([(v.astype(U64) << U64(32)) | w.astype(U64) for v, w, _ in got])
     told = np.concatenate([g[2] for g in got]).astype(np.int64)
     order = np.argsort(both, kind="stable")
@@ -290,7 +349,7 @@ def add_bigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tupl
 def add_words(blobs: list[bytes], place: str, p: int) -> np.ndarray:
     """Writes shard p of words; numbers of words, of bigrams, and of words with 1, 2, 3, 4, more left contexts."""
     got = [_unpacked(b, _U32, *[np.int64] * 5) for b in blobs]
-    cols = [np.concatenate([g[k] for g in got]) for k in range(6)]
+    cols = [np.concatenate([np.cumsum(g[0], dtype=_U32) if k == 0 else g[k] for g in got]) for k in range(6)]
     order = np.argsort(cols[0], kind="stable")
     cols = [c[order] for c in cols]
     first = _runs(cols[0])
@@ -420,9 +479,13 @@ def log_probs(model: dict, tok: np.ndarray, begin: np.ndarray) -> tuple[np.ndarr
         if not len(mine):
             continue
         shard[mine] = p
-        for j, name in enumerate(("n1", "n2", "n3", "total", "left")):
+        for j, name in ((0, "n1"), (1, "n2"), (2, "n3"), (4, "left")):
             if mapped(place, f"ctx-{p}-{name}") is not None:
                 ctx[j, mine] = _wide(place, f"ctx-{p}-{name}", k)
+        ctx[3, mine] = ctx[0, mine] + 2 * ctx[1, mine]
+        more = np.flatnonzero(ctx[2, mine])
+        where, value = mapped(place, f"ctx-{p}-total")
+        ctx[3, mine[more]] = value[np.searchsorted(where, k[more])]
         block = k // _BLOCK * _BLOCK
         places = block[:, None] + np.arange(_BLOCK)
         before = places < k[:, None]
