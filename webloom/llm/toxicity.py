@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import BLOBS, Batches, blob_rows, free_name, rows_of, written
+from .shared import BLOBS, Batches, blob_rows, exchange, free_name, rows_of, written
 from .text import chunks, lowered
 
 ORDERS = (3, 4, 5, 6)
 BITS = 22
+#: Ranges of features whose counts are added up apart.
+RANGES = 8
 #: Of each label at most so many rows (those whose hashed id is least) are trained on: the only bound on training data.
 TRAIN_ROWS = 8000
 
@@ -147,36 +149,42 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least_g: f
 
         return rows_of(batches, step)
 
-    # documents' features stay with the tasks: first their counts by label are gathered, then those of the significant ones
+    # documents' features stay with the tasks: ranges of features add up their counts by label, and only significant ones are gathered
     featured = base.mapInArrow(grams, BLOBS)
+    by_label = {r["y"]: r["count"] for r in base.groupBy("y").count().collect()}
+    total = np.array([by_label.get(0, 0), by_label.get(1, 0)], np.float64)
+    if not total.all():
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
 
     def counts(batches: Batches) -> Batches:
         both = np.zeros((2, 1 << BITS), np.int32)
-        total = np.zeros(2, np.int64)
         for b in batches:
             for y, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 both[y][np.frombuffer(blob.as_buffer(), np.int32)] += 1
-                total[y] += 1
         at = np.flatnonzero(both.any(axis=0)).astype(np.int32)
-        if total.any():
-            yield blob_rows([(0, total.tobytes()), (1, at.tobytes()), (2, both[:, at].tobytes())])
-
-    both, total = np.zeros((2, 1 << BITS)), np.zeros(2)
-    at = None
-    for r in featured.mapInArrow(counts, BLOBS).collect():  # counts over a bounded number of rows
-        if r["part"] == 0:
-            total += np.frombuffer(r["blob"], np.int64)
-        elif r["part"] == 1:
-            at = np.frombuffer(r["blob"], np.int32)
-        else:
-            both[:, at] += np.frombuffer(r["blob"], np.int32).reshape(2, -1)
-    if not total.all():
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0)
-    q, p = both
-    ratio = np.log((p + smooth) / (total[1] + 2 * smooth)) - np.log((q + smooth) / (total[0] + 2 * smooth))
-    sure = significance(p, q, *total[::-1])
-    order = np.argsort(-sure, kind="stable")[:most_features]
-    features = np.sort(order[sure[order] >= least_g])
+        cut = np.searchsorted(at, np.arange(RANGES + 1) * ((1 << BITS) // RANGES))
+        for p in np.flatnonzero(np.diff(cut)):
+            some = at[cut[p] : cut[p + 1]]
+            yield blob_rows([(int(p), np.concatenate((some, both[0, some], both[1, some])).tobytes())])
+
+    def significant(batches: Batches) -> Batches:
+        got = [np.frombuffer(x.as_buffer(), np.int32).reshape(3, -1) for b in batches for x in b.column(1)]
+        if not got:
+            return
+        at, q, p = np.concatenate(got, axis=1)
+        at, where = np.unique(at, return_inverse=True)
+        q, p = np.bincount(where, q), np.bincount(where, p)
+        sure = significance(p, q, *total[::-1])
+        order = np.argsort(-sure, kind="stable")[:most_features]
+        order = order[sure[order] >= least_g]
+        ratio = np.log((p + smooth) / (total[1] + 2 * smooth)) - np.log((q + smooth) / (total[0] + 2 * smooth))
+        yield blob_rows([(0, np.stack((at[order], sure[order], ratio[order])).tobytes())])
+
+    found = [np.frombuffer(bytes(r["blob"])).reshape(3, -1) for r in exchange(featured.mapInArrow(counts, BLOBS), RANGES).mapInArrow(significant, BLOBS).collect()]
+    at, sure, ratio = np.concatenate([np.zeros((3, 0)), *found], axis=1)  # most_features of each range at most
+    best = np.lexsort((at, -sure))[:most_features]
+    best = best[np.argsort(at[best])]
+    features, ratio = at[best].astype(np.int64), ratio[best]
 
     def narrowed(batches: Batches) -> Batches:
         mine = np.full(1 << BITS, -1, np.int32)
@@ -187,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least_g: f
                 yield blob_rows([(y, e[e >= 0].tobytes()) for y, e in zip(b.column(0).to_pylist(), each)])
 
     got = sorted((r["part"], bytes(r["blob"])) for r in featured.mapInArrow(narrowed, BLOBS).collect())  # at most 2 * rows
-    return fit([np.frombuffer(x, np.int32) for _, x in got], np.array([y for y, _ in got], np.float64), features, ratio[features].astype(np.float32))
+    return fit([np.frombuffer(x, np.int32) for _, x in got], np.array([y for y, _ in got], np.float64), features, ratio.astype(np.float32))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
