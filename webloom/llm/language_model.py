@@ -23,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOBS, Batches, blob_rows, exchange, new_place, partitions, rows_of
+from .shared import BLOBS, Batches, blob_rows, exchange, new_place, partitions, released, rows_of
 from .text import U64, Words, mix64, word_chunks
 
 BOS, EOS, NONE, FIRST = 1, 2, 3, 4
 #: Words whose trigrams a task counts before it sends them; words that are scored at once.
-COUNT_WORDS, SCORE_BYTES = 4_000_000, 12 << 20
+COUNT_WORDS, SCORE_BYTES = 4_000_000, 4 << 20
 SCHEMA = "doc_id bigint, n_tokens long, log_prob double, perplexity double"
 _U32 = np.uint32
 
@@ -396,6 +396,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> di
                     held, size = [], 0
         if held:
             yield flush()
+        held = []
+        released()
 
     def by_shard(batches: Batches) -> dict[int, list[bytes]]:
         out: dict[int, list[bytes]] = {}
@@ -407,10 +409,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> di
     def trigrams(batches: Batches) -> Batches:
         for p, blobs in by_shard(batches).items():
             yield blob_rows(add_trigrams(blobs, place, p, parts))
+        released()
 
     def bigrams(batches: Batches) -> Batches:
         for p, blobs in by_shard(batches).items():
             yield blob_rows(add_bigrams(blobs, place, p, parts))
+        released()
 
     def words(batches: Batches) -> Batches:
         for p, blobs in by_shard(batches).items():

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import golay
-from .shared import BLOBS, Batches, blob_rows, exchange, partitions, rows_of, small, written
+from .shared import BLOBS, Batches, blob_rows, exchange, partitions, released, rows_of, small, written
 from .text import U64, mix64, word_chunks
 
 SEGMENTS = 4
@@ -166,6 +166,7 @@ def links_table(distinct: DataFrame, most: int, parts: int) -> DataFrame:
         pairs = links(fp, keys, most)
         rows = np.unique(np.concatenate((fp[pairs[:, 0]], fp[pairs[:, 1]]), axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a_hi", "a_lo", "b_hi", "b_lo"])
+        released()
 
     sent = distinct.select("hi", "lo").mapInArrow(spread, BLOBS)
     return exchange(sent, parts).mapInArrow(meet, "a_hi bigint, a_lo bigint, b_hi bigint, b_lo bigint").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side of one or two numbers a row up to which it is broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_ROWS = 4_000_000
+#: Bytes of rows that a worker takes at once.
+STEP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,7 +68,19 @@ def blob_rows(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.binary())], ["part", "blob"])
 
 
+def released() -> None:
+    """Gives memory that a task no longer uses back to the system, as workers stay for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def rows_of(batches: Batches, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Batches:
+    """step on all rows, at most about STEP_BYTES (one row at least) at once, whatever the size of the batches."""
     for b in batches:
-        if b.num_rows:
-            yield from step(b)
+        rows = max(1, b.num_rows * STEP_BYTES // max(b.nbytes, 1))
+        for at in range(0, b.num_rows, rows):
+            yield from step(b.slice(at, rows))
+    released()
