@@ -74,3 +74,43 @@ def test_groups_and_empty_table(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert got(suffix_dedup.repeats(docs, 12)) == brute(rows, 12)
     assert suffix_dedup.repeats(docs.where("false")).count() == 0
+
+
+def brute_within(rows, length):
+    """Every passage against all places, (doc_id, first word), that have it."""
+    held = defaultdict(set)
+    for i, t in rows:
+        ws = next(iter(word_chunks(pa.array([t]))))[1].hashes.tolist() if t and i is not None else []
+        for k in range(len(ws) - length + 1):
+            held[tuple(ws[k : k + length])].add((i, k))
+    out = defaultdict(lambda: [set(), set()])
+    for places in held.values():
+        if len(places) > 1:
+            for i, k in places:
+                out[i][0].update(range(k, k + length))
+                if (i, k) != min(places):
+                    out[i][1].update(range(k, k + length))
+
+    def joined(words):
+        edges = sorted(w for w in words if w - 1 not in words), sorted(w + 1 for w in words if w + 1 not in words)
+        return list(zip(*edges))
+
+    return {i: (joined(a), joined(b)) for i, (a, b) in out.items()}
+
+
+@pytest.mark.parametrize("seed,vocabulary,length,sent", [(1, 5000, 12, 1000), (2, 3, 16, 1000), (3, 40, 50, 0), (4, 5000, 9, 0), (5, 2, 20, 1000)])
+def test_repeats_within_a_document(spark, seed, vocabulary, length, sent):
+    rows = corpus(seed, vocabulary)
+    own = [f"own{k}" for k in range(60)]
+    rows += [(2000, " ".join([*own, "between", *own])), (2001, " ".join(f"once{k}" for k in range(200))), (3, " ".join(["again", *own[:55], "x", *own[:55]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = got(suffix_dedup.repeats(docs, length, sent_keys=sent, within=True))
+    assert found == brute_within(rows, length)
+    assert 1004 in found and 2000 in found and 2001 not in found
+
+
+def test_query_lists_repeats_within_a_document(spark, tmp_path):
+    own = [f"own{k}" for k in range(60)]
+    rows = [(1, " ".join([*own, "between", *own])), (2, " ".join(f"once{k}" for k in range(200)))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(suffix_dedup.query(spark, str(tmp_path))) == {1: ([(0, 60), (61, 121)], [(61, 121)])}

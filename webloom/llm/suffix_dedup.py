@@ -1,9 +1,10 @@
-"""Passages that several documents share, by suffix arrays through prefix-free parsing.
+"""Passages that stand at several places, in one document or in several, by suffix arrays through prefix-free parsing.
 
 A passage of `length` words is known by its minimizer: of the rolling hashes of its runs of ANCHOR words the least one. Equal passages
 have equal minimizers, and neighbouring passages mostly share one, so a document falls into cells: passages in a row with one
-minimizer. The first pass finds the minimizers of several documents; only cells of these travel, each with its words, to the
-partition of its minimizer, where every passage equal to one of the cell's is too.
+minimizer. Equal passages of one document are in different cells, too. The first pass finds the minimizers of several documents or
+cells; only cells of these travel, each with its words, to the partition of its minimizer, where every passage equal to one of the
+cell's is too.
 
 There the cells' words are one text, parsed prefix-free: rolling-hash triggers cut it into phrases that overlap by TRIGGER words.
 The suffix array of the distinct phrases (the dictionary) and that of the phrase numbers (the parse) combine into the order of the text's
@@ -27,7 +28,7 @@ from .text import U64, Words, mix64, powers, word_chunks
 LENGTH = 50
 #: Words of the runs whose least hash is a passage's minimizer; words of a trigger; one run in TRIGGER_EVERY is a trigger.
 ANCHOR, TRIGGER, TRIGGER_EVERY = 10, 4, 8
-#: Minimizers of several documents up to which they are sent to all tasks; beyond, they join the documents by shuffle.
+#: Minimizers of several cells up to which they are sent to all tasks; beyond, they join the documents by shuffle.
 SENT_KEYS = 4_000_000
 #: Words that are parsed and sorted at once; cells of one minimizer are never parted.
 GROUP_WORDS = 1 << 20
@@ -84,8 +85,8 @@ def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(p), order[cut[p] : cut[p + 1]]
 
 
-def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
-    """doc_id, keys (binary, 8 bytes each): each document's minimizers that other documents have too, in some rows."""
+def shared_keys(docs: DataFrame, length: int, parts: int, within: bool = False) -> DataFrame:
+    """doc_id, keys (binary, 8 bytes each): each document's minimizers that other documents have too (within: or other cells of its own), in some rows."""
 
     def spread(batches: Batches) -> Batches:
         def step(b: pa.RecordBatch):
@@ -93,7 +94,9 @@ def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
             for row, w in word_chunks(b.column(1)):
                 doc, _, _, key = cells(w, length)
                 if len(doc):
-                    both = np.unique(np.stack((key, ids[row + doc].view(U64)), axis=1), axis=0)
+                    both, times = np.unique(np.stack((key, ids[row + doc].view(U64)), axis=1), axis=0, return_counts=True)
+                    if within:
+                        both = np.repeat(both, np.minimum(times, 2), axis=0)
                     yield blob_rows([(p, both[at].T.tobytes()) for p, at in _by_part(both[:, 0], parts)])
 
         return rows_of(batches, step)
@@ -107,7 +110,8 @@ def shared_keys(docs: DataFrame, length: int, parts: int) -> DataFrame:
         key, doc = key[order], doc[order].view(np.int64)
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         last = np.append(at[1:], len(key)) - 1
-        several = np.repeat(doc[at] != doc[last], last - at + 1)
+        several = np.repeat(at != last if within else doc[at] != doc[last], last - at + 1)
+        several[1:] &= (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])  # each once
         key, doc = key[several], doc[several]
         order = np.argsort(doc, kind="stable")
         key, doc = key[order], doc[order]
@@ -206,8 +210,9 @@ def parsed_order(words: np.ndarray, begin: np.ndarray, suffixes: np.ndarray) ->
     return suffixes[np.lexsort((parse_rank[place[j] + 1], alpha))]
 
 
-def shared_in(key, doc, first, count, words, length: int) -> tuple[np.ndarray, ...]:
-    """Document, kind (0: in some other document too; 1: in one of a lesser id too), first word and end of the shared passages of cells."""
+def shared_in(key, doc, first, count, words, length: int, within: bool = False) -> tuple[np.ndarray, ...]:
+    """Document, kind (0: in some other document too; 1: in one of a lesser id too), first word and end of the shared passages of cells.
+    within: places (document, first word) count in place of documents."""
     size = count.astype(np.int64) + length - 1
     begin = np.concatenate(([0], np.cumsum(size)))
     offset = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
@@ -215,14 +220,21 @@ def shared_in(key, doc, first, count, words, length: int) -> tuple[np.ndarray, .
     suffixes = begin[cell] + np.arange(offset[-1]) - offset[cell]
     order = parsed_order(words, begin, suffixes)
     h = run_hashes(words.astype(U64), length)[order]
-    own = doc[np.searchsorted(begin, order, "right") - 1]
+    of = np.searchsorted(begin, order, "right") - 1
+    own = doc[of]
     at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     per = np.diff(np.append(at, len(h)))
     least, most = np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
-    shared = np.zeros(len(words), bool)
-    shared[order] = np.repeat(least != most, per)
-    lesser = np.zeros(len(words), bool)
-    lesser[order] = np.repeat(least, per) < own
+    several, earlier = np.repeat(least != most, per), np.repeat(least, per) < own
+    if within:
+        word = first[of] + order - begin[of]
+        in_least = own == np.repeat(least, per)
+        least_word = np.minimum.reduceat(np.where(in_least, word, np.iinfo(np.int64).max), at)
+        most_word = np.maximum.reduceat(np.where(in_least, word, -1), at)
+        several |= np.repeat(least_word != most_word, per)
+        earlier |= in_least & (np.repeat(least_word, per) < word)
+    shared, lesser = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    shared[order], lesser[order] = several, earlier
     out = []
     for kind, flag in enumerate((shared, lesser)):
         hit = np.flatnonzero(flag)
@@ -239,7 +251,7 @@ def shared_in(key, doc, first, count, words, length: int) -> tuple[np.ndarray, .
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
 
-def intervals(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
+def intervals(blobs: list[bytes], length: int, within: bool = False) -> Iterator[pa.RecordBatch]:
     """The shared passages of a partition's cells, in groups of about GROUP_WORDS words."""
     key, doc, first, count, _ = (np.concatenate(x) for x in zip(*((k, d, f, c, np.zeros(0)) for k, d, f, c, _ in map(_unpacked, blobs))))
     words = np.concatenate([_unpacked(b)[4] for b in blobs])
@@ -254,24 +266,26 @@ def intervals(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
         at = order[a:b]
         s = size[at]
         text = words[np.repeat(begin[at] - np.concatenate(([0], np.cumsum(s)[:-1])), s) + np.arange(s.sum())]
-        found = shared_in(key[at], doc[at], first[at], count[at], text, length)
+        found = shared_in(key[at], doc[at], first[at], count[at], text, length, within)
         if len(found[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "kind", "start", "end"])
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, sent_keys: int = SENT_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, repeated, removable: a row for each document with a passage of `length` words that another document has too.
+def repeats(docs: DataFrame, length: int = LENGTH, sent_keys: int = SENT_KEYS, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
+    """doc_id, repeated, removable: a row for each document with a passage of `length` words that another document has too
+    or, with within, that stands at another place of its own.
 
     repeated and removable are arrays of (start, end), in order and apart: words of the lower-cased text, counted from 0. repeated covers
-    every such passage, removable those that a document of a lesser id has, so that one copy of each stays when these are cut.
-    Whatever stands between words is left out of account. Passages that only one document repeats don't count. Null, empty and
+    every such passage, removable those that a document of a lesser id has (within: or that stand at a lesser word of the same), so that
+    one copy of each stays when these are cut; of a passage that overlaps its own copy, only the words before the second stay.
+    Whatever stands between words is left out of account. Without within, passages that only one document repeats don't count. Null, empty and
     short texts have none; rows with a null id are left out; rows of one id are one document, whose texts' spans lie together;
     extra columns are left out; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    keys = written(shared_keys(base, length, parts), "minimizers")
+    keys = written(shared_keys(base, length, parts, within), "minimizers")
     if (keys.agg(F.sum(F.length("keys"))).first()[0] or 0) <= 8 * sent_keys:
         each = np.unique(np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["keys"], U64) for r in keys.select("keys").toLocalIterator())]))
         sent = spark.sparkContext.broadcast(each)
@@ -305,7 +319,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, sent_keys: int = SENT_KEYS, i
 
     def meet(batches: Batches) -> Batches:
         got = [x.as_buffer().to_pybytes() for b in batches for x in b.column(1)]
-        return intervals(got, length) if got else iter(())
+        return intervals(got, length, within) if got else iter(())
 
     found = exchange(blobs, parts).mapInArrow(meet, "doc_id bigint, kind int, start int, end int")
     w = Window.partitionBy("doc_id", "kind").orderBy("start", "end")
@@ -317,4 +331,4 @@ def repeats(docs: DataFrame, length: int = LENGTH, sent_keys: int = SENT_KEYS, i
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), within=True)
