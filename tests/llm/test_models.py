@@ -24,6 +24,15 @@ def test_toxic_documents_held_out(spark):
     assert t.found[t.toxic == 1].mean() >= 0.75 and t.found[t.toxic == 0].mean() <= 0.01
 
 
+def test_toxic_decisions_hold_where_rows_are_cut(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    odd = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    t = labels.where(odd).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    # some 220 toxic rows and 1,760 others: the others are cut to an eighth
+    score = toxicity.train(docs, labels.where(~odd), rows=225).scores(pa.array(t.text))
+    assert (score[t.toxic == 0] > 0).mean() <= 0.02 and (score[t.toxic == 1] > 0).mean() >= 0.7
+
+
 def test_scores_by_brute_force():
     table = {b"x": 1}
     r = np.random.default_rng(0)

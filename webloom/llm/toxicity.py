@@ -129,9 +129,12 @@ def significance(p: np.ndarray, q: np.ndarray, toxic: float, other: float) -> np
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least_g: float = 25.0, smooth: float = 0.5, most_features: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of the labelled documents, at most `rows` of either label. Rows without id, label or text don't train, nor do ids
-    with both labels; with one label only, or none, the model finds nothing toxic."""
+    """A model of the labelled documents, at most `rows` of either label; the bias is set right for what each label's rows were cut
+    by, so that scores hold at the labels' own shares. Rows without id, label or text don't train, nor do ids with both labels; with
+    one label only, or none, the model finds nothing toxic."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("top")).where("y = top")
+    labelled = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    cut_by = [max(labelled.get(v, 0) / max(rows, 1), 1.0) for v in (0, 1)]
     chosen = [known.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(rows).select("id", F.lit(v).alias("y")) for v in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows pairs of numbers at most
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).where("length(t) > 0").join(chosen, "id").select("t", "y")
@@ -195,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least_g: f
                 yield blob_rows([(y, e[e >= 0].tobytes()) for y, e in zip(b.column(0).to_pylist(), each)])
 
     got = sorted((r["part"], bytes(r["blob"])) for r in featured.mapInArrow(narrowed, BLOBS).collect())  # at most 2 * rows
-    return fit([np.frombuffer(x, np.int32) for _, x in got], np.array([y for y, _ in got], np.float64), features, ratio.astype(np.float32))
+    model = fit([np.frombuffer(x, np.int32) for _, x in got], np.array([y for y, _ in got], np.float64), features, ratio.astype(np.float32))
+    model.bias += float(np.log(cut_by[1] / cut_by[0]))
+    return model
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
