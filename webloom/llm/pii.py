@@ -5,13 +5,14 @@ look-alikes that aren't private (versions, years, counts, licence lines). The ne
 carries over to any words and digits.
 
 Texts are decoded in windows of WINDOW characters that overlap by half; a window's labels count in its inner half only, so that each
-character is labelled by the window that sees most around it, and spans that run through several windows come out whole. Every
-kind of KINDS has a character of TELLING in every value, and a value reaches at most REACH characters to either side of one; so only
-windows with such a character within REACH of their inner half are decoded. Others can't hold part of a value.
+character is labelled by the window that sees most around it, and spans that run through several windows come out whole. Values stand in
+words (runs without white space) that tell: every word of a value has a digit or '@', or is a key that begins with, or stands after, one of
+SIGNS. Only windows with part of such a word, however long, in their inner half are decoded, and only such words can be labelled.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
@@ -25,8 +26,11 @@ from .shared import Batches, free_name, rows_of
 KINDS = ("email", "phone", "ip", "card", "key")
 #: "O", then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, REACH = 192, 48
+WINDOW = 192
 TELLING = "0123456789@"
+#: What a key without a digit begins with, or what stands before it.
+SIGNS = re.compile(r"""AKIA|ASIA|[sp]k[-_]|gh[a-z]_|xox[a-z]-|(?:pass(?:word|wd|phrase)?|pwd|token|secret|key)["']?\s{0,3}[=:]\s{0,3}["']?""", re.IGNORECASE)
+_BARE, _FAR = 0.4, 0.03  # shares of keys of letters only, and of e-mail addresses that reach far
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 _OWN = " .@-+()=\"'_:/\n,"
@@ -56,6 +60,29 @@ def _telling() -> np.ndarray:
     return np.frombuffer(TELLING.encode("utf-32-le"), np.uint32)
 
 
+@cache
+def _spaces() -> np.ndarray:
+    return np.array([chr(i).isspace() for i in range(0x10000)])
+
+
+def told(joined: str, points: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which characters are in words that tell, or between two such words, of texts joined that begin at off."""
+    tell = np.isin(points, _telling())
+    for m in SIGNS.finditer(joined):
+        tell[m.start() : m.end() + 1] = True  # with what follows
+    space = _spaces()[np.minimum(points, 0xFFFF)]
+    new = np.ones(len(points), bool)
+    new[1:] = space[1:] != space[:-1]
+    new[off[:-1][off[:-1] < len(points)]] = True
+    at = np.flatnonzero(new)
+    gap = space[at]
+    word = np.logical_or.reduceat(tell, at) & ~gap
+    between = gap.copy()
+    between[:1] = between[-1:] = False
+    between[1:-1] &= word[:-2] & word[2:]
+    return np.repeat(word | between, np.diff(np.append(at, len(points))))
+
+
 def classes(points: np.ndarray) -> np.ndarray:
     return _classes()[np.minimum(points, 0xFFFF)]
 
@@ -163,10 +190,11 @@ def _value(r: np.random.Generator, kind: str) -> tuple[str, str, str]:
     pick = lambda s, n: "".join(r.choice(list(s), n))
     letters, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
     if kind == "email":
-        user = pick(letters, r.integers(2, 9)) + (str(r.choice(list("._-+"))) + pick(letters + digits, r.integers(2, 6)) if r.random() < 0.6 else "")
+        many = r.integers(3, 8) if r.random() < _FAR else 0  # some reach far on either side of the @
+        user = "".join(pick(letters, r.integers(4, 12)) + "." for _ in range(many)) + pick(letters, r.integers(2, 9)) + (str(r.choice(list("._-+"))) + pick(letters + digits, r.integers(2, 6)) if r.random() < 0.6 else "")
         if r.random() < 0.4:
             user += pick(digits, r.integers(1, 4))
-        host = ".".join(pick(letters, r.integers(3, 9)) + (pick(digits, 1) if r.random() < 0.3 else "") for _ in range(r.integers(1, 3)))
+        host = ".".join(pick(letters, r.integers(3, 9)) + (pick(digits, 1) if r.random() < 0.3 else "") for _ in range(r.integers(1, 3) + (many if r.random() < 0.5 else 0)))
         return "", f"{user}@{host}.{r.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io', 'edu'])}", ""
     if kind == "phone":
         a, b, c = pick(digits, 3), pick(digits, 3), pick(digits, 4)
@@ -178,13 +206,15 @@ def _value(r: np.random.Generator, kind: str) -> tuple[str, str, str]:
         d = [str(r.choice([4, 5, 3])) + pick(digits, 3)] + [pick(digits, 4) for _ in range(3)]
         return "", str(r.choice(["", "", " ", "-"])).join(d), ""
     form = r.integers(0, 4)
+    bare = r.random() < _BARE  # of letters only
+    last = pick(letters if bare else digits, 1)
     if form == 0:
-        return "", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567890", 15) + pick(digits, 1), ""
+        return "", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ("" if bare else "234567890"), 15) + (last.upper() if bare else last), ""
     if form == 1:
-        return "password=", pick(hexa, r.integers(9, 24)) + pick(digits, 1), ""
+        return "password=", pick(letters if bare else hexa, r.integers(9, 24)) + last, ""
     if form == 2:
-        return str(r.choice(["token", "secret", "api_key", "key"])) + ' = "', pick(hexa, r.integers(19, 40)) + pick(digits, 1), '"'
-    return str(r.choice(["sk-", "ghp_"])), pick(letters + letters.upper() + digits, 19) + pick(digits, 1), ""
+        return str(r.choice(["token", "secret", "api_key", "key"])) + ' = "', pick(letters if bare else hexa, r.integers(19, 40)) + last, '"'
+    return str(r.choice(["sk-", "ghp_"])), pick(letters + letters.upper() + ("" if bare else digits), 19) + last, ""
 
 
 def _plain(r: np.random.Generator) -> str:
@@ -257,7 +287,7 @@ def train(hidden: int = 16, chars: int = 240_000, epochs: int = 16, batch: int =
 
 
 def spans_in(texts: list[str | None], net: Network, gated: bool = True, rows: int = 512) -> dict[int, list[tuple[int, int, int]]]:
-    """Text number to its spans (start, end, kind). Without gated, every window is decoded."""
+    """Text number to its spans (start, end, kind). Without gated, windows in which no word tells are decoded, too."""
     half, quarter = WINDOW // 2, WINDOW // 4
     joined = "".join(t or "" for t in texts)
     size = np.array([len(t or "") for t in texts], np.int64)
@@ -271,12 +301,10 @@ def spans_in(texts: list[str | None], net: Network, gated: bool = True, rows: in
     count = -(-size // half)
     doc = np.repeat(np.arange(len(texts)), count)
     begin = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * half
+    can = told(joined, points, off)
     if gated:
-        tell = np.isin(points, _telling())
-        near = np.concatenate(([0], np.cumsum(tell)))
-        low = np.maximum(off[doc], off[doc] + begin - REACH)
-        high = np.minimum(off[doc + 1], off[doc] + begin + half + REACH)
-        ok = near[high] > near[low]
+        near = np.concatenate(([0], np.cumsum(can)))
+        ok = near[np.minimum(off[doc + 1], off[doc] + begin + half)] > near[off[doc] + begin]
         doc, begin = doc[ok], begin[ok]
     marks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(doc), rows):
@@ -285,7 +313,7 @@ def spans_in(texts: list[str | None], net: Network, gated: bool = True, rows: in
         inside = (place >= off[d]) & (place < off[d + 1])
         tags = net.decode(x[np.where(inside, place, len(points))].astype(np.int64))[quarter : quarter + half]
         place, inside = place[quarter : quarter + half], inside[quarter : quarter + half]
-        t, w = np.nonzero((tags > 0) & inside)
+        t, w = np.nonzero((tags > 0) & inside & can[np.where(inside, place, 0)])
         marks.append((place[t, w], d[w], tags[t, w].astype(np.int64)))
     if not marks:
         return {}
@@ -297,10 +325,9 @@ def spans_in(texts: list[str | None], net: Network, gated: bool = True, rows: in
     new[1:] = (place[1:] != place[:-1] + 1) | (d[1:] != d[:-1]) | (kind[1:] != kind[:-1]) | (tag[1:] % 2 == 1)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(place)) - 1
-    tells = np.concatenate(([0], np.cumsum(np.isin(points, _telling()))))
     out: dict[int, list[tuple[int, int, int]]] = {}
     for i, j in zip(at, last):
-        if place[j] - place[i] >= 5 and tells[place[j] + 1] > tells[place[i]]:  # no kind has shorter values, or any without a character of TELLING
+        if place[j] - place[i] >= 5:  # no kind has shorter values
             k = int(d[i])
             out.setdefault(k, []).append((int(place[i] - off[k]), int(place[j] + 1 - off[k]), int(kind[i])))
     return out
