@@ -232,22 +232,76 @@ def near_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,wide", [(1, 24), (2, 2)])
+def groups_by_keys(texts):
+    """Row to the least row of its group, and how many pairs within MOST_BITS share no key, from all pairs."""
+    fp, some = near_dedup.fingerprints(pa.array(texts, pa.string()))
+    ints = [int(a) << 64 | int(b) for a, b in fp.tolist()]
+    keys = [set(k) - {-1} for k in near_dedup.key_matrix(fp[:, 0].view(np.int64), fp[:, 1].view(np.int64)).tolist()]
+    inner = sum(((1 << 46) - 1) << s for s in (0, 64))  # the bits of the segments
+    root, missed = list(range(len(texts))), 0
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if some[i] and some[j]:
+                apart = (ints[i] ^ ints[j]).bit_count()
+                if ((ints[i] ^ ints[j]) & inner).bit_count() <= 8:
+                    assert keys[i] & keys[j]
+                if apart <= near_dedup.MOST_BITS:
+                    if ints[i] == ints[j] or keys[i] & keys[j]:
+                        a, b = sorted((top(i), top(j)))
+                        root[b] = a
+                    else:
+                        missed += 1
+    return {i: top(i) for i in range(len(texts)) if some[i]}, missed
+
+
+@pytest.mark.parametrize("seed,wide", [(1, 24), (2, 2), (3, 24)])
 def test_near_duplicates_by_brute_force(spark, monkeypatch, seed, wide):
     monkeypatch.setattr(near_dedup, "WIDE_RUN", wide)
     texts = near_texts(seed)
-    want = {i: g for i, g in brute.near_groups(list(enumerate(texts))).items() if i != g}
+    exact, _ = groups_by_keys(texts)
     got = {r.doc_id: r.duplicate_of for r in near_dedup.duplicates(docs_of(spark, texts)).collect()}
-    assert len(want) > 100 and set(got) <= set(want)
-    assert sum(got.get(i) == g for i, g in want.items()) >= 0.95 * len(want)
+    assert got == {i: g for i, g in exact.items() if i != g} and len(got) > 100
+    want = {i: g for i, g in brute.near_groups(list(enumerate(texts))).items() if i != g}
+    assert sum(got.get(i) == g for i, g in want.items()) >= 0.95 * len(want)  # the search is approximate beyond 8 bits
+
+
+def test_near_pairs_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    exact, missed = groups_by_keys([r.text for r in rows])
+    got = {r.doc_id: r.duplicate_of for r in near_dedup.duplicates(docs).collect()}
+    assert got == {rows[i].doc_id: rows[g].doc_id for i, g in exact.items() if i != g} and missed <= 6
+
+
+def test_distance_counts_every_bit():
+    a = np.array([[-1, 0], [1 << 62, -(1 << 63)], [-5, 7]])
+    b = np.array([[0, 0], [-(1 << 63), 1], [5, -7]])
+    want = [sum(((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(p, q)) for p, q in zip(a, b)]
+    assert near_dedup.distance(a, b).tolist() == want == [64, 4, 126]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 9000])
+def test_keys_survive_packing(parts):
+    hi, lo = np.random.default_rng(parts).integers(-(1 << 63), 1 << 63, (2, 200))
+    got = set()
+    for _, blob in near_dedup.key_blobs(hi, lo, parts):
+        got |= set(zip(*(x.tolist() for x in near_dedup.unpacked(blob))))
+    want = {(h, x, k) for h, x, ks in zip(hi.tolist(), lo.tolist(), near_dedup.key_matrix(hi, lo).tolist()) for k in ks if k >= 0}
+    assert got == want
 
 
 def test_near_awkward(spark):
     docs = awkward(spark)
     assert near_dedup.duplicates(docs).count() == 0
     kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == docs.count()
-    assert near_dedup.keep_one(empty(spark)).count() == 0
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 1  # the repeated row
+    assert near_dedup.keep_one(empty(spark)).count() == 0 and near_dedup.duplicates(empty(spark)).count() == 0
     twice = docs_of(spark, ["one and the same text", "one and the same text", "One,  and the same TEXT!", "another thing altogether, of other words"])
     assert sorted((r.doc_id, r.duplicate_of) for r in near_dedup.duplicates(twice).collect()) == [(1, 0), (2, 0)]
     chain = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(500, 501), (501, 501)], "a bigint, b bigint")
@@ -255,6 +309,17 @@ def test_near_awkward(spark):
     assert roots == {k: 0 for k in range(1, 301)} | {501: 500}
 
 
+def test_near_rows_without_ids_and_of_one_id(spark):
+    same, other, third = "one and the same text of some words", "another thing altogether, of other words", "a third matter without anything of these"
+    rows = [(None, same), (None, same), (4, same), (2, other), (2, third), (7, third), (8, other), (None, "a lone one, quite unlike"), (None, "a lone one, quite unlike"), (9, None), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "x", {"a": 1}) for i, t in rows], "doc_id bigint, text string, keeper string, group map<string,int>")
+    assert sorted((r.doc_id, r.duplicate_of) for r in near_dedup.duplicates(docs).collect()) == [(7, 2), (8, 2)]
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(4, same), (2, third), (None, "a lone one, quite unlike"), (9, None), (9, None), (9, "")], key=str)
+    named = docs.select(F.concat(F.lit("d"), F.coalesce("doc_id", F.lit(0))).alias("doc_id"), "text")
+    assert {(r.doc_id, r.duplicate_of) for r in near_dedup.duplicates(named).collect()} == {("d4", "d0"), ("d7", "d2"), ("d8", "d2")}
+
+
 def test_no_local_checkpoint_or_temporary_folder():
     from pathlib import Path
 

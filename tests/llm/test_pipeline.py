@@ -21,7 +21,7 @@ def test_pipeline_by_brute_force(spark):
     phrases = brute.benchmark_phrases([r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()], 8, 4)
     for r in rows:
         r["text"] = brute.cut(r["text"], brute.contaminated(r["text"], phrases))
-        for a, b, k in reversed(pii.spans_in([r["text"]], pii.train(), gated=False).get(0, [])):
+        for a, b, k in reversed(pii.spans_in([r["text"]], pii.train(), bound=False).get(0, [])):
             r["text"] = r["text"][:a] + f"[{pii.KINDS[k].upper()}]" + r["text"][b:]
         r["n_chars"] = len(r["text"])
     copies = brute.mixed([(r["doc_id"], r["source"], r["text"]) for r in rows], mixing.WEIGHTS, mixing.SEED)

@@ -12,18 +12,13 @@ bits within a shard, followers by 24 within a context.
 
 from __future__ import annotations
 
-import os
-import tempfile
-from functools import cache
-from urllib.parse import unquote, urlsplit
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOBS, Batches, blob_rows, exchange, new_place, partitions, released, rows_of
+from .shared import BLOBS, Batches, blob_rows, exchange, mapped, new_place, partitions, released, rows_of, save
 from .text import U64, Words, mix64, word_chunks
 
 BOS, EOS, NONE, FIRST = 1, 2, 3, 4
@@ -176,55 +171,6 @@ def trigram_blobs(tok: np.ndarray, begin: np.ndarray, parts: int) -> list[tuple[
 # ---------------------------------------------------------------- shards
 
 
-def _local(uri: str) -> str | None:
-    parts = urlsplit(uri)
-    return unquote(parts.path) if parts.scheme in ("", "file") else None
-
-
-def save(place: str, name: str, array: np.ndarray) -> None:
-    """An array as a file; a task that is run again writes the same file."""
-    at = _local(place)
-    if at is None:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(place)
-        with system.open_output_stream(f"{path}/{name}.npy") as f:
-            f.write(_npy(array))
-        return
-    os.makedirs(at, exist_ok=True)
-    handle, temporary = tempfile.mkstemp(dir=at)
-    with os.fdopen(handle, "wb") as f:
-        f.write(_npy(array))
-    os.replace(temporary, f"{at}/{name}.npy")
-
-
-def _npy(array: np.ndarray) -> bytes:
-    import io
-
-    f = io.BytesIO()
-    np.save(f, array)
-    return f.getvalue()
-
-
-@cache
-def mapped(place: str, name: str) -> np.ndarray | None:
-    """The array of that name, mapped into memory; None if there is none. Other than a file system's, it is copied once to a file of this worker."""
-    at = _local(place)
-    if at is not None:
-        path = f"{at}/{name}.npy"
-        return np.load(path, mmap_mode="r") if os.path.exists(path) else None
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(place)
-    if system.get_file_info(f"{path}/{name}.npy").type == fs.FileType.NotFound:
-        return None
-    with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(f"{path}/{name}.npy") as f:
-        while data := f.read(1 << 24):
-            copy.write(data)
-        copy.flush()
-        return np.load(copy.name, mmap_mode="r")  # the mapping outlives the file's name
-
-
 def _narrow(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts as bytes, 255 for those of 255 or more, and (place, count) of these."""
     at = np.flatnonzero(counts >= 255)

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import ctypes
+import io
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
+from urllib.parse import unquote, urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 4_000_000
 #: Bytes of rows that a worker takes at once.
 STEP_BYTES = 4 << 20
+#: Bytes of input (as the optimizer estimates them) for each partition that a worker takes whole.
+PART_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +63,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, each: int = PART_BYTES) -> int:
+    """Partitions for what is derived from df: what the session names, but more where its input is larger than `each` bytes a partition.
+    An input whose size the optimizer doesn't know (it says 2**63 or so) has what the session names."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(partitions(df.sparkSession), -(-size // each) if size < 1 << 56 else 0)
+
+
 def exchange(df: DataFrame, parts: int) -> DataFrame:
     """Rows (part int, blob binary) to the partition of their number."""
     return df.repartitionById(parts, F.col("part"))
@@ -77,10 +92,58 @@ def released() -> None:
         pass
 
 
-def rows_of(batches: Batches, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Batches:
-    """step on all rows, at most about STEP_BYTES (one row at least) at once, whatever the size of the batches."""
+def rows_of(batches: Batches, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], most: int = STEP_BYTES) -> Batches:
+    """step on all rows, at most about `most` bytes (one row at least) at once, whatever the size of the batches."""
     for b in batches:
-        rows = max(1, b.num_rows * STEP_BYTES // max(b.nbytes, 1))
+        rows = max(1, b.num_rows * most // max(b.nbytes, 1))
         for at in range(0, b.num_rows, rows):
             yield from step(b.slice(at, rows))
     released()
+
+
+def _local(uri: str) -> str | None:
+    parts = urlsplit(uri)
+    return unquote(parts.path) if parts.scheme in ("", "file") else None
+
+
+def save(place: str, name: str, array: np.ndarray) -> None:
+    """An array as a file; a task that is run again writes the same file."""
+    at = _local(place)
+    if at is None:
+        system, path = fs.FileSystem.from_uri(place)
+        with system.open_output_stream(f"{path}/{name}.npy") as f:
+            f.write(_npy(array))
+        return
+    os.makedirs(at, exist_ok=True)
+    handle, temporary = tempfile.mkstemp(dir=at)
+    with os.fdopen(handle, "wb") as f:
+        f.write(_npy(array))
+    os.replace(temporary, f"{at}/{name}.npy")
+
+
+def _npy(array: np.ndarray) -> bytes:
+    f = io.BytesIO()
+    np.save(f, array)
+    return f.getvalue()
+
+
+def mapped(place: str, name: str) -> np.ndarray | None:
+    """The array of that name, mapped into memory; None if there is none (yet). Other than a file system's, it is copied once to a file of
+    this worker."""
+    try:
+        return _opened(place, name)
+    except FileNotFoundError:
+        return None
+
+
+@cache
+def _opened(place: str, name: str) -> np.ndarray:
+    at = _local(place)
+    if at is not None:
+        return np.load(f"{at}/{name}.npy", mmap_mode="r")
+    system, path = fs.FileSystem.from_uri(place)
+    with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(f"{path}/{name}.npy") as f:
+        while data := f.read(1 << 24):
+            copy.write(data)
+        copy.flush()
+        return np.load(copy.name, mmap_mode="r")  # the mapping outlives the file's name
