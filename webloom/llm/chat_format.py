@@ -8,8 +8,10 @@ turns (role, text). All of it is built-in SQL on variants: no Python sees a reco
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 from itertools import combinations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,9 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("messages", turns="messages", optional=("id", "model", "source")),
-    Mapping("conversations", turns="conversations", role="from", text="value", optional=("id", "system")),
-    Mapping("dialogue", turns="dialog.turns", role="speaker", text="utterance", optional=("dialog.id", "id")),
+    Mapping("messages", turns="messages", optional=("id", "model", "source", "messages[].role")),
+    Mapping("conversations", turns="conversations", role="from", text="value", optional=("id", "system", "conversations[].from")),
+    Mapping("dialogue", turns="dialog.turns", role="speaker", text="utterance", optional=("dialog.id", "id", "dialog.turns[].speaker")),
     Mapping("prompt", parts=(("prompt", "user"), ("completion", "assistant")), optional=("id",)),
     Mapping("response", parts=(("prompt", "user"), ("response", "assistant")), optional=("id", "system")),
     Mapping("question", parts=(("question", "user"), ("answer", "assistant")), optional=("id",)),
@@ -66,11 +68,17 @@ def spelled(paths: list[str]) -> str:
     return text(tree)
 
 
-def fingerprints(m: Mapping) -> list[Column]:
-    """Those of all layouts that the mapping takes."""
+def layouts(m: Mapping) -> list[list[str]]:
+    """The field paths of all layouts that the mapping takes."""
     must = [p for p in m.paths() if p not in m.optional]
-    found = [must + list(extra) for k in range(len(m.optional) + 1) for extra in combinations(m.optional, k)]
-    return [F.xxhash64(F.lit(spelled(x))) for x in found]
+    return [must + list(extra) for k in range(len(m.optional) + 1) for extra in combinations(m.optional, k)]
+
+
+@cache
+def _hash(text: str) -> int:
+    """Spark's xxhash64 (seed 42) of a text."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 SCALAR = "(?:VOID|STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\\([0-9,]+\\)|DATE|TIMESTAMP(?:_NTZ)?|BINARY|UUID)"
@@ -128,27 +136,46 @@ def _schema(mappings: tuple[Mapping, ...]) -> str:
     return ddl(tree)
 
 
+def _once(value: Column, then) -> Column:
+    """then(value) with value computed once a row: a lambda's argument isn't copied into each place that uses it, as an expression is."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def canonical(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """All columns of records and fingerprint, mapping (name), turns (array of role, text), with underscores after a name that records has.
 
     A layout that no mapping knows has null mapping and turns; a null record or what isn't JSON has a null fingerprint too.
     Turns without text (null) are left out, empty texts of an array of turns stay, and a part that is empty says nothing.
-    Roles are lower-cased and known synonyms mapped; a missing role is user. Repeated rows stay; an empty table stays empty.
+    Roles are lower-cased and known synonyms mapped; a missing role is user, in some turns or in all. Long texts stay whole;
+    turns keep their order, equal ones too. Repeated rows stay; an empty table stays empty.
     """
-    spelled_, print_, name, parsed, turns = (free_name(records, x) for x in ("spelled", "fingerprint", "mapping", "parsed", "turns"))
-    df = records.withColumn(spelled_, of_record(F.col(record_col))).withColumn(print_, F.when(F.col(spelled_).isNotNull(), F.xxhash64(spelled_)))
-    which = F.lit(None).cast("string")
-    for m in mappings:
-        which = F.when(F.col(print_).isin(*fingerprints(m)), F.lit(m.name)).otherwise(which)
-    df = df.withColumn(name, which).withColumn(parsed, F.from_json(record_col, _schema(mappings)))
-    out = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for m in mappings:
-        out = F.when(F.col(name) == m.name, F.filter(_turns(m, F.col(parsed)), lambda t: t["text"].isNotNull())).otherwise(out)
-    return df.withColumn(turns, out).drop(spelled_, parsed)
+    said, print_, name, turns = (free_name(records, x) for x in ("said", "fingerprint", "mapping", "turns"))
+    named = F.create_map(*(x for h, m in {_hash(spelled(p)): m.name for m in mappings for p in layouts(m)}.items() for x in (F.lit(h), F.lit(m))))
+    kind = "array<struct<role:string,text:string>>"
+
+    def turns_of(name_: Column) -> Column:
+        def each(parsed: Column) -> Column:
+            out = F.lit(None).cast(kind)
+            for m in mappings:
+                out = F.when(name_ == m.name, F.filter(_turns(m, parsed), lambda t: t["text"].isNotNull())).otherwise(out)
+            return out
+
+        return F.when(name_.isNotNull(), _once(F.from_json(record_col, _schema(mappings)), each))
+
+    def found(hash_: Column) -> Column:
+        return _once(named[hash_], lambda n: F.struct(hash_.alias("fingerprint"), n.alias("mapping"), turns_of(n).cast(kind).alias("turns")))
+
+    one = _once(of_record(F.col(record_col)), lambda s: _once(F.when(s.isNotNull(), F.xxhash64(s)), found))
+    return records.withColumn(said, one).select(*records.columns, *(F.col(f"{said}.{f}").alias(n) for f, n in (("fingerprint", print_), ("mapping", name), ("turns", turns))))
 
 
 def records(conversations: DataFrame) -> DataFrame:
-    """conv_id, record: each conversation as JSON, in a layout that its id's hash and its shape select; the other way round than canonical()."""
+    """conv_id, record: each conversation as JSON, in a layout that its id's hash and its shape select; the other way round than canonical().
+
+    Turns are in the order of turn, then role, then text, and repeated rows are turns of their own; those without text are left
+    out, and with them conversations that have no others. A null conv_id is a conversation; a null role is left out of its
+    record, so that canonical() reads it as user; texts of any length are whole; an empty table gives an empty result.
+    """
     said = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     df = conversations.where("text is not null").groupBy("conv_id").agg(said.alias("said"))
     s, n = F.col("said"), F.size("said")
@@ -178,6 +205,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-select conv_id, (row_number() over (partition by conv_id order by turn, role, text) - 1)::int as turn, lower(trim(role)) as role, text
+select conv_id, (row_number() over (partition by conv_id order by turn nulls first, role nulls first, text) - 1)::int as turn, coalesce(lower(trim(role)), 'user') as role, text
 from conversations where text is not null
 """

@@ -1,6 +1,6 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-Each language has a raw-content zstandard dictionary, cut from a bounded sample of labelled rows. A text is lower-cased, cut into
+Each language has a raw-content zstandard dictionary: the texts of a bounded sample of labelled rows, whole. A text is lower-cased, cut into
 blocks (so that the dictionary counts in a long text as in a short one) and compressed whole with every dictionary. The smallest
 total wins; a margin to the runner-up below `margin` of the runner-up's size rejects.
 """
@@ -12,40 +12,39 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Batches, rows_of
+from .shared import Batches, rows_of, typed
 from .text import buffers, lowered
 
-SCHEMA = "doc_id bigint, lang string, runner_up string, size long, margin double, accepted boolean"
 
+def dictionaries(docs: DataFrame, sample_docs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A dictionary for each label of lang_col: the whole lower-cased texts of its sample, the nearest (the last, whose matches are
+    cheapest) those of the greatest hash.
 
-def dictionaries(docs: DataFrame, sample_docs: int = 200, piece_chars: int = 4096, dict_bytes: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each label of lang_col.
-
-    The only bound on training data: of each language the first piece_chars characters of the sample_docs rows whose hashed
-    id is least, cut to dict_bytes. Rows without label, id or text don't train; no labelled row: no dictionary.
+    The only bound on training data: of each language the sample_docs rows whose hashed id is least; ids with several rows count
+    once a row. Rows without label, id or text don't train; no labelled row: no dictionary.
     """
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("label"), F.col(id_col).alias("id"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("label", "id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.substring(text_col, 1, piece_chars).alias("piece"))
-    rows = texts.join(F.broadcast(chosen), ["id", "label"]).where("piece is not null").collect()
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("label"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    order = Window.partitionBy("label").orderBy("h", "id", "k")  # cut to sample_docs within each task before anything travels
+    ids = known.select("label", "id", F.xxhash64(F.col("id").cast("string")).alias("h"), F.xxhash64("t").alias("k"))
+    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("label", "id", "h", "k").distinct()
+    rows = known.withColumn("k", F.xxhash64("t")).join(F.broadcast(chosen), ["label", "id", "k"]).distinct().collect()
     out: dict[str, bytes] = {}
-    for r in sorted(rows, key=lambda r: (r["label"], r["id"], r["piece"])):
-        out[r["label"]] = out.get(r["label"], b"") + r["piece"].lower().encode() + b"\n"
-    return {k: v[:dict_bytes] for k, v in sorted(out.items())}
+    for r in sorted(rows, key=lambda r: (r["label"], r["h"], r["t"])):
+        out[r["label"]] = out.get(r["label"], b"") + r["t"].lower().encode() + b"\n"
+    return dict(sorted(out.items()))
 
 
-def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = 0.02, level: int = 3, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = 0.02, level: int = 9, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang (null when rejected), runner_up, size, margin, accepted: a row for every row of docs, extra columns left out.
 
-    Null and empty texts have size 0, margin 0 and are rejected, as are ties; with a single dictionary the margin is 1 for any
-    text; with none all is rejected with null size. A null id stays null; repeated rows are judged each. An empty table gives
-    an empty result.
+    Null and empty texts have size 0, margin 0 and are rejected, as are ties; long texts are compressed to their end; with a single
+    dictionary the margin is 1 for any text; with none all is rejected with null size. Ids stay as they are, null or not; repeated
+    rows are judged each, alike. An empty table gives an empty result.
     """
 
     def run(batches: Batches) -> Batches:
         coders = []
-        for name, data in dicts.items():
+        for name, data in sent.value.items():
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             coders.append((name, zstandard.ZstdCompressor(dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False).compress))
@@ -67,7 +66,9 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = 0.02, lev
 
         return rows_of(batches, step)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    sent = docs.sparkSession.sparkContext.broadcast(dicts)  # a bounded sample
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return base.mapInArrow(run, typed(base, "doc_id", "lang string, runner_up string, size long, margin double, accepted boolean"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

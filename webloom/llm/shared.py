@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a side of one or two numbers a row up to which it is broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_ROWS = 4_000_000
@@ -75,6 +76,11 @@ def exchange(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionById(parts, F.col("part"))
 
 
+def typed(df: DataFrame, id_col: str, rest: str) -> StructType:
+    """The id column as df has it, then other columns (DDL)."""
+    return StructType([df.schema[id_col], *StructType.fromDDL(rest).fields])
+
+
 BLOBS = "part int, blob binary"
 Batches = Iterator[pa.RecordBatch]
 
