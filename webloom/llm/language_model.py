@@ -1,13 +1,15 @@
 """Perplexity under an interpolated modified Kneser-Ney trigram model (Chen and Goodman, 1999) of the whole corpus.
 
-Counting takes one job of three exchanges. Trigrams (u, v, w) go to the partition of (u, v), which adds up the counts and writes its
-shard: sorted hashes of contexts with counts of their followers, and of each context the sorted hashes of its followers. Every
-distinct trigram then tells the partition of (v, w) of one left context; distinct bigrams tell the partitions of their words.
-Shards hold counts, and discounts are applied when texts are scored, so that no pass goes back over a shard.
+A first job gathers the distinct words (64-bit hashes) in sorted shards; a word's place there is its number, so that all that follows
+tells words apart by no more bits than there are words. Counting then takes one job of three exchanges. Trigrams (u, v, w) go to the
+partition of (u, v), which adds up the counts and writes its shard: sorted hashes of contexts with counts of their followers, and of
+each context the numbers of its followers in order. Every distinct trigram then tells the partition of (v, w) of one left context;
+distinct bigrams tell the partitions of their words. Shards hold counts, and discounts are applied when texts are scored, so that no
+pass goes back over a shard.
 
 Workers map the shards into memory (from the shared folder, or from a copy on their disk where that folder isn't a file system) and look
-up the distinct bigrams and words of many texts at once, in sorted order. Words are known by 32 bits of a hash; contexts by 40
-bits within a shard, followers by 24 within a context.
+up the distinct bigrams and words of many texts at once, in sorted order. The hash of a context is a bijection of its two words'
+numbers, and followers are stored whole: no context and no trigram is taken for another, at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -18,37 +20,56 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOBS, Batches, blob_rows, exchange, mapped, new_place, partitions, released, rows_of, save
+from .shared import BLOBS, Batches, blob_rows, exchange, mapped, new_place, parts_for, released, rows_of, save, typed
 from .text import U64, Words, mix64, word_chunks
 
-BOS, EOS, NONE, FIRST = 1, 2, 3, 4
+UNKNOWN, BOS, EOS, NONE, FIRST = 0, 1, 2, 3, 4
 #: Words whose trigrams a task counts before it sends them; words that are scored at once.
 COUNT_WORDS, SCORE_BYTES = 4_000_000, 4 << 20
-SCHEMA = "doc_id bigint, n_tokens long, log_prob double, perplexity double"
 _U32 = np.uint32
 
 
-def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all documents that have any, each document between two BOS and one EOS; of each document where its begin (n + 1)."""
+def word_numbers(words: dict, hashes: np.ndarray) -> np.ndarray:
+    """The number of each word, UNKNOWN for those that aren't among words."""
+    each, which = np.unique(hashes, return_inverse=True)
+    out = np.full(len(each), UNKNOWN, _U32)
+    for p, s in _sharded(each, words["parts"], 64):
+        have = mapped(words["place"], f"vocabulary-{p}")
+        if have is not None and len(have):
+            k = np.minimum(np.searchsorted(have, each[s]), len(have) - 1)
+            out[s] = np.where(have[k] == each[s], k + (words["before"][p] + FIRST), UNKNOWN)
+    return out[which]
+
+
+def tokens(w: Words, words: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of all documents that have any, each document between two BOS and one EOS; of each document where its begin (n + 1)."""
     count = np.diff(w.first)
     size = np.where(count > 0, count + 3, 0)
     begin = np.concatenate(([0], np.cumsum(size)))
     out = np.full(begin[-1], BOS, _U32)
     out[begin[1:][count > 0] - 1] = EOS
-    short = (w.hashes >> U64(32)).astype(_U32)
-    short[short < FIRST] += _U32(FIRST)
-    out[np.arange(len(short)) + np.repeat(begin[:-1] + 2 - w.first[:-1], count)] = short
+    out[np.arange(len(w.hashes)) + np.repeat(begin[:-1] + 2 - w.first[:-1], count)] = word_numbers(words, w.hashes)
     return out, begin
 
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The hash of two words in a row: no two pairs share one."""
-    return mix64((a.astype(U64) << U64(32)) | b.astype(U64))
+def pair(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of two numbers of `bits` bits in a row: a bijection of 2 * bits bits."""
+    half, mask = U64(bits), U64((1 << 2 * bits) - 1)
+    x = (a.astype(U64) << half) | b.astype(U64)
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x ^= x >> half
+        x = (x * U64(k)) & mask
+    return x ^ (x >> half)
+
 
+def shard_of(h: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Shards are ranges of hashes of so many bits."""
+    top = h >> U64(bits - 32) if bits >= 32 else h << U64(32 - bits)
+    return ((top * U64(parts)) >> U64(32)).astype(np.int64)
 
-def shard_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """Shards are ranges of hashes."""
-    return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+
+def _least_type(top: int):
+    return np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else _U32 if top < 1 << 32 else np.int64
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -134,26 +155,39 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
-def trigram_blobs(tok: np.ndarray, begin: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+def _counted(v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams in the order of (v, u, w), as v << 32 | u and w, with their counts (of None, one each) added up."""
+    if 3 * bits <= 64:  # three numbers fit one, which sorts faster
+        key = (v.astype(U64) << U64(2 * bits)) | (u.astype(U64) << U64(bits)) | w.astype(U64)
+        order = None if count is None else np.argsort(key)
+        key = np.sort(key) if order is None else key[order]
+        first = _runs(key)
+        mask, k = U64((1 << bits) - 1), key[first]
+        ctx, last = ((k >> U64(2 * bits)) << U64(32)) | ((k >> U64(bits)) & mask), (k & mask).astype(_U32)
+    else:
+        key = (v.astype(U64) << U64(32)) | u.astype(U64)
+        order = np.lexsort((w, key))
+        key, w = key[order], w[order]
+        first = _runs(key, w)
+        ctx, last = key[first], w[first]
+    return ctx, last, np.diff(np.append(first, len(key))) if count is None else _added(count[order], first)
+
+
+def trigram_blobs(tok: np.ndarray, begin: np.ndarray, parts: int, bits: int) -> list[tuple[int, bytes]]:
     """Counted trigrams by the shard of their context: words by number, contexts (v, u), their numbers of followers, followers, counts."""
     n = np.diff(begin)
     live = np.repeat(n, n)
     inside = np.arange(len(tok)) - np.repeat(begin[:-1], n)
     at = np.flatnonzero(inside < live - 1)  # pairs within a document
     nxt = np.minimum(at + 2, len(tok) - 1)
-    ctx = (tok[at + 1].astype(U64) << U64(32)) | tok[at].astype(U64)
     last = inside[at] == live[at] - 2
-    w = np.where(last, _U32(NONE), tok[nxt])
-    order = np.lexsort((w, ctx))
-    ctx, w = ctx[order], w[order]
-    first = _runs(ctx, w)
-    count = np.diff(np.append(first, len(ctx))).astype(_U32)
-    ctx, w = ctx[first], w[first]
+    ctx, w, count = _counted(tok[at + 1], tok[at], np.where(last, _U32(NONE), tok[nxt]), None, bits)
+    count = count.astype(_U32)
     head = _runs(ctx)
     size = np.diff(np.append(head, len(ctx)))
     ctx = ctx[head]
     v, u = (ctx >> U64(32)).astype(_U32), ctx.astype(_U32)
-    shard = shard_of(pair(u, v), parts)
+    shard = shard_of(pair(u, v, bits), parts, 2 * bits)
     order = np.argsort(shard, kind="stable")
     cut = np.searchsorted(shard[order], np.arange(parts + 1))
     out = []
@@ -202,39 +236,37 @@ def _of_counts(counts: np.ndarray) -> np.ndarray:
 _BLOCK = 32
 
 
-def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tuple[int, bytes]]:
+def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int, bits: int) -> list[tuple[int, bytes]]:
     """Writes shard p of contexts and followers; what it tells of bigrams: v, w, number of left contexts, by shard."""
     got = []
     for b in blobs:
         often, gaps, v, u, n, w, c = _unpacked(b, *[_U32] * 7)
         name = _named(often, gaps)
-        got.append((np.repeat((name[np.cumsum(v, dtype=_U32)].astype(U64) << U64(32)) | name[u].astype(U64), n), name[w], c))
-    ctx, w, count = (np.concatenate(x) for x in zip(*got))
-    count = count.astype(np.int64)
-    order = np.lexsort((w, ctx))
-    ctx, w, count = ctx[order], w[order], count[order]
-    first = _runs(ctx, w)
-    ctx, w, count = ctx[first], w[first], _added(count, first)
+        got.append((np.repeat(name[np.cumsum(v, dtype=_U32)], n), np.repeat(name[u], n), name[w], c))
+    v, u, w, count = (np.concatenate(x) for x in zip(*got))
+    got = None
+    ctx, w, count = _counted(v, u, w, count.astype(np.int64), bits)
     head = _runs(ctx)
     real = w != NONE
     v, u = (ctx >> U64(32)).astype(_U32), ctx.astype(_U32)
     # contexts in the order of their hashes
-    key = pair(u[head], v[head])
+    key = pair(u[head], v[head], bits)
     by = np.argsort(key)
     size = np.diff(np.append(head, len(ctx)))
     n1, n2, n3, total = (_added(x.astype(np.int64), head)[by] for x in (real & (count == 1), real & (count == 2), real & (count > 2), np.where(real, count, 0)))
     rows = _ranges(head[by], size[by])
     rows = rows[real[rows]]
     k = key[by]
-    save(place, f"ctx-{p}-hi", (k >> U64(32)).astype(_U32))
-    save(place, f"ctx-{p}-lo", ((k >> U64(24)) & U64(255)).astype(np.uint8))
+    high, low = _halves(k, bits)
+    save(place, f"ctx-{p}-hi", high)
+    save(place, f"ctx-{p}-lo", low)
     for name, x in (("n1", n1), ("n2", n2), ("n3", n3)):
         _save_counts(place, f"ctx-{p}-{name}", x)
     more = np.flatnonzero(n3)  # other totals follow from n1 and n2
     save(place, f"ctx-{p}-total", np.stack((more, total[more])))
     save(place, f"ctx-{p}-first", np.concatenate(([0], np.cumsum(n1 + n2 + n3)))[::_BLOCK].astype(np.int64))
-    save(place, f"next-{p}-hi", (w[rows] >> _U32(16)).astype(np.uint16))
-    save(place, f"next-{p}-lo", ((w[rows] >> _U32(8)) & _U32(255)).astype(np.uint8))
+    save(place, f"next-{p}-hi", (w[rows] >> _U32(8)).astype(_least_type((1 << bits) >> 8)))
+    save(place, f"next-{p}-lo", (w[rows] & _U32(255)).astype(np.uint8))
     _save_counts(place, f"next-{p}-count", count[rows])
     save(place, f"stats3-{p}", _of_counts(count[real]))
     # a trigram at the beginning of a text has no left contexts to count: its own count stands in
@@ -244,15 +276,21 @@ def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tup
     both, told = both[order], told[order]
     first = _runs(both)
     v, w, told = (both[first] >> U64(32)).astype(_U32), both[first].astype(_U32), _added(told, first).astype(_U32)
-    return _sent_pairs(shard_of(pair(v, w), parts), parts, v, w, told)
+    return _sent_pairs(shard_of(pair(v, w, bits), parts, 2 * bits), parts, v, w, told)
+
+
+def _halves(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 32 of 2 * bits bits, and the others in as few bytes as they need."""
+    rest = max(2 * bits - 32, 0)
+    return (keys >> U64(rest)).astype(_U32), (keys & U64((1 << rest) - 1)).astype(_least_type((1 << rest) - 1))
 
 
-def find(place: str, p: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find(place: str, p: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of sorted hashes among the contexts of shard p, and which are there."""
     hi, lo = mapped(place, f"ctx-{p}-hi"), mapped(place, f"ctx-{p}-lo")
     if hi is None or not len(hi):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    want, want_lo = (keys >> U64(32)).astype(_U32), ((keys >> U64(24)) & U64(255)).astype(np.uint8)
+    want, want_lo = _halves(keys, bits)
     at = np.searchsorted(hi, want)
     end = len(hi) - 1
     while True:
@@ -263,7 +301,7 @@ def find(place: str, p: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at + on
 
 
-def add_bigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tuple[int, bytes]]:
+def add_bigrams(blobs: list[bytes], place: str, p: int, parts: int, bits: int) -> list[tuple[int, bytes]]:
     """Writes the left contexts of shard p's bigrams; what it tells of words, by shard: word, as first word total and numbers of 1, 2, more; left contexts as second."""
     got = [_pairs(b) for b in blobs]
     both = np.concatenate([(v.astype(U64) << U64(32)) | w.astype(U64) for v, w, _ in got])
@@ -272,15 +310,15 @@ def add_bigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tupl
     both, told = both[order], told[order]
     first = _runs(both)
     both, told = both[first], _added(told, first)
-    key = mix64(both)
+    v, w = (both >> U64(32)).astype(_U32), both.astype(_U32)
+    key = pair(v, w, bits)
     by = np.argsort(key)
-    at, there = find(place, p, key[by])
+    at, there = find(place, p, key[by], bits)
     size = mapped(place, f"ctx-{p}-hi")
     left = np.zeros(0 if size is None else len(size), np.int64)
     left[at[there]] = told[by][there]
     _save_counts(place, f"ctx-{p}-left", left)
     save(place, f"stats2-{p}", _of_counts(told))
-    v, w = (both >> U64(32)).astype(_U32), both.astype(_U32)
     head = _runs(v)
     per = [_added(x.astype(np.int64), head) for x in (told, told == 1, told == 2, told > 2)]
     w = np.sort(w)
@@ -289,7 +327,7 @@ def add_bigrams(blobs: list[bytes], place: str, p: int, parts: int) -> list[tupl
     words = np.concatenate((v[head], w[as_second]))
     zeros = np.zeros(len(as_second), np.int64)
     cols = [np.concatenate((x, zeros)) for x in per] + [np.concatenate((np.zeros(len(head), np.int64), number))]
-    return _sent(shard_of(mix64(words.astype(U64)), parts), parts, words, *cols)
+    return _sent(shard_of(mix64(words.astype(U64)), parts, 64), parts, words, *cols)
 
 
 def add_words(blobs: list[bytes], place: str, p: int) -> np.ndarray:
@@ -303,7 +341,7 @@ def add_words(blobs: list[bytes], place: str, p: int) -> np.ndarray:
     key = mix64(words.astype(U64))
     by = np.argsort(key)
     save(place, f"word-{p}-key", key[by])
-    save(place, f"word-{p}-counts", rest[:, by])
+    save(place, f"word-{p}-counts", rest[:, by].astype(_least_type(int(rest.max(initial=0)))))
     left = rest[4][rest[4] > 0]
     return np.concatenate(([len(left), left.sum()], _of_counts(left), [(left > 4).sum()]))
 
@@ -317,23 +355,71 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0, *(min(max(k - (k + 1) * y * b / a, 0.05), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
+def vocabulary(docs: DataFrame, place: str, parts: int) -> dict:
+    """Writes the distinct words of the texts, by ranges of their hashes; how many there are before each range, and in all."""
+
+    def spread(batches: Batches) -> Batches:
+        held, size = [], 0
+
+        def flush():
+            each = np.unique(np.concatenate(held))
+            return blob_rows([(p, _packed(np.diff(each[s], prepend=U64(0)))) for p, s in _sharded(each, parts, 64)])
+
+        for b in batches:
+            for _, w in word_chunks(b.column(0)):
+                held.append(np.unique(w.hashes))
+                size += len(held[-1])
+                if size > COUNT_WORDS:
+                    held = [np.unique(np.concatenate(held))]
+                    if len(held[0]) > COUNT_WORDS // 2:
+                        yield flush()
+                        held = []
+                    size = sum(map(len, held))
+        if size:
+            yield flush()
+        held = []
+        released()
+
+    def meet(batches: Batches) -> Batches:
+        got: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
+                got.setdefault(p, []).append(np.cumsum(_unpacked(x.as_buffer().to_pybytes(), U64)[0], dtype=U64))
+        for p, each in got.items():
+            words = np.unique(np.concatenate(each))
+            save(place, f"vocabulary-{p}", words)
+            yield blob_rows([(p, np.int64(len(words)).tobytes())])
+        released()
+
+    before = np.zeros(parts + 1, np.int64)
+    for r in exchange(docs.mapInArrow(spread, BLOBS), parts).mapInArrow(meet, BLOBS).collect():  # a number of each shard
+        before[r["part"] + 1] = np.frombuffer(r["blob"], np.int64)[0]
+    before = np.cumsum(before)
+    if before[-1] + FIRST >= 1 << 32:
+        raise ValueError(f"{before[-1]} distinct words are more than 32 bits can number")
+    return {"place": place, "parts": parts, "before": before, "bits": int(before[-1] + FIRST).bit_length()}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """A model of all texts: where its shards are and the numbers that hold for all of them. Null, empty and wordless texts count
-    nothing; without any words all texts are scored as unknown."""
+    nothing; without any words all texts are scored as unknown. Long texts count to their end, repeated rows as often as they are."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = parts_for(docs)
     place = new_place(spark, "ngrams")
+    texts = docs.select(F.col(text_col))
+    known = vocabulary(texts, place, parts)
+    bits = known["bits"]
 
     def count(batches: Batches) -> Batches:
         held, size = [], 0
 
         def flush():
             begin = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in held]))))
-            return blob_rows(trigram_blobs(np.concatenate([t for t, _ in held]), begin, parts))
+            return blob_rows(trigram_blobs(np.concatenate([t for t, _ in held]), begin, parts, bits))
 
         for b in batches:
             for _, w in word_chunks(b.column(0)):
-                tok, begin = tokens(w)
+                tok, begin = tokens(w, known)
                 if len(tok):
                     held.append((tok, begin))
                     size += len(tok)
@@ -354,19 +440,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> di
 
     def trigrams(batches: Batches) -> Batches:
         for p, blobs in by_shard(batches).items():
-            yield blob_rows(add_trigrams(blobs, place, p, parts))
+            yield blob_rows(add_trigrams(blobs, place, p, parts, bits))
         released()
 
     def bigrams(batches: Batches) -> Batches:
         for p, blobs in by_shard(batches).items():
-            yield blob_rows(add_bigrams(blobs, place, p, parts))
+            yield blob_rows(add_bigrams(blobs, place, p, parts, bits))
         released()
 
     def words(batches: Batches) -> Batches:
         for p, blobs in by_shard(batches).items():
             yield blob_rows([(p, add_words(blobs, place, p).tobytes())])
 
-    told = exchange(docs.select(F.col(text_col)).mapInArrow(count, BLOBS), parts).mapInArrow(trigrams, BLOBS)
+    told = exchange(texts.mapInArrow(count, BLOBS), parts).mapInArrow(trigrams, BLOBS)
     told = exchange(exchange(told, parts).mapInArrow(bigrams, BLOBS), parts).mapInArrow(words, BLOBS)
     sums = np.zeros(7, np.int64)
     for r in told.collect():  # a few numbers of each shard
@@ -379,7 +465,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> di
                 every[k] += got
     d1 = discounts(sums[2:6])
     rest = d1[1] * sums[2] + d1[2] * sums[3] + d1[3] * (sums[4:7].sum())
-    return {"place": place, "parts": parts, "words": int(sums[0]), "bigrams": int(sums[1]), "d": (d1, discounts(every[1]), discounts(every[0])), "rest": float(rest)}
+    return {"place": place, "parts": parts, "known": known, "words": int(sums[0]), "bigrams": int(sums[1]), "d": (d1, discounts(every[1]), discounts(every[0])), "rest": float(rest)}
 
 
 def _mass(d: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray) -> np.ndarray:
@@ -390,16 +476,16 @@ def _less(d: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.maximum(count - d[np.minimum(count, 3)], 0)
 
 
-def _sharded(keys: np.ndarray, parts: int):
-    """Shards of sorted hashes, with their ranges."""
-    cut = np.searchsorted(shard_of(keys, parts), np.arange(parts + 1))
+def _sharded(keys: np.ndarray, parts: int, bits: int):
+    """Shards of sorted hashes of so many bits, with their ranges."""
+    cut = np.searchsorted(shard_of(keys, parts, bits), np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cut)):
         yield int(p), slice(cut[p], cut[p + 1])
 
 
 def log_probs(model: dict, tok: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Natural logarithms of the probability of each word and EOS in order, and the document of each."""
-    place, parts, (d1, d2, d3) = model["place"], model["parts"], model["d"]
+    place, parts, bits, (d1, d2, d3) = model["place"], model["parts"], model["known"]["bits"], model["d"]
     n = np.diff(begin)
     inside = np.arange(len(tok)) - np.repeat(begin[:-1], n)
     at = np.flatnonzero(inside >= 2)  # what is scored
@@ -409,21 +495,21 @@ def log_probs(model: dict, tok: np.ndarray, begin: np.ndarray) -> tuple[np.ndarr
     key = mix64(word.astype(U64))
     by = np.argsort(key)
     counts = np.zeros((5, len(word)), np.int64)
-    for p, s in _sharded(key[by], parts):
+    for p, s in _sharded(key[by], parts, 64):
         have = mapped(place, f"word-{p}-key")
         if have is not None and len(have):
             k = np.minimum(np.searchsorted(have, key[by[s]]), len(have) - 1)
             ok = have[k] == key[by[s]]
-            counts[:, by[s][ok]] = mapped(place, f"word-{p}-counts")[:, k[ok]]
+            counts[:, by[s][ok]] = mapped(place, f"word-{p}-counts")[:, k[ok]].astype(np.int64)
     total = max(model["bigrams"], 1)
     flat = 1.0 / (model["words"] + 1)
     p1 = (_less(d1, counts[4]) + model["rest"] * flat) / total if model["bigrams"] else np.full(len(word), flat)
     # pairs: as contexts of what follows, and as bigrams
-    pairs, pair_of = np.unique(pair(tok[:-1], tok[1:]), return_inverse=True)
+    pairs, pair_of = np.unique(pair(tok[:-1], tok[1:], bits), return_inverse=True)
     ctx = np.zeros((5, len(pairs)), np.int64)  # n1, n2, n3, total, left
     start, shard = np.zeros(len(pairs), np.int64), np.full(len(pairs), -1)
-    for p, s in _sharded(pairs, parts):
-        k, ok = find(place, p, pairs[s])
+    for p, s in _sharded(pairs, parts, 2 * bits):
+        k, ok = find(place, p, pairs[s], bits)
         k = k[ok]
         mine = np.flatnonzero(ok) + s.start
         if not len(mine):
@@ -470,7 +556,7 @@ def followers(place: str, shard: np.ndarray, start: np.ndarray, size: np.ndarray
         p = int(shard[mine[0]])
         hi, lo = mapped(place, f"next-{p}-hi"), mapped(place, f"next-{p}-lo")
         value = lambda k: (hi[k].astype(_U32) << _U32(8)) | lo[k]  # noqa: B023, E731
-        want = w[mine] >> _U32(8)
+        want = w[mine]
         left, right = start[mine].copy(), start[mine] + size[mine] - 1
         todo = np.flatnonzero(left < right)
         while len(todo):
@@ -487,14 +573,14 @@ def followers(place: str, shard: np.ndarray, start: np.ndarray, size: np.ndarray
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens (words and the end), log_prob (natural), perplexity: a row for each row of docs, extra columns left out.
 
-    Null, empty and wordless texts have 0 tokens, log_prob 0 and null perplexity; null ids and repeated rows are scored each; an
-    empty table gives an empty result.
+    Null, empty and wordless texts have 0 tokens, log_prob 0 and null perplexity; long texts are scored to their end. Ids stay as they
+    are, null or not; repeated rows are scored each, alike; nothing is ranked, so there are no ties; an empty table gives an empty result.
     """
 
     def run(batches: Batches) -> Batches:
         def step(b: pa.RecordBatch):
             for row, w in word_chunks(b.column(1), SCORE_BYTES):
-                tok, begin = tokens(w)
+                tok, begin = tokens(w, model["known"])
                 count = len(begin) - 1
                 n = np.maximum(np.diff(begin) - 2, 0)
                 total = np.zeros(count)
@@ -507,7 +593,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
         return rows_of(batches, step)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return base.mapInArrow(run, typed(base, "doc_id", "n_tokens long, log_prob double, perplexity double"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
