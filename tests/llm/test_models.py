@@ -36,29 +36,58 @@ def test_toxic_decisions_hold_where_rows_are_cut(spark):
     assert (score[t.toxic == 0] > 0).mean() <= 0.02 and (score[t.toxic == 1] > 0).mean() >= 0.7
 
 
+def grams(text):
+    """The hashed n-grams of a text, by plain loops."""
+    seen = set()
+    if text:
+        c = [ord(x) if toxicity._letters()[min(ord(x), 0xFFFF)] else 0 for x in "\0" + text.lower() + "\0"]
+        for n in toxicity.ORDERS:
+            for k in range(len(c) - n + 1):
+                gram = c[k : k + n]
+                if 0 in gram[1:-1]:
+                    continue
+                h = gram[0]
+                for x in gram[1:]:
+                    h = (h * 0x01000193 + x) & 0xFFFFFFFF
+                seen.add((((h ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+    return seen
+
+
 def test_scores_by_brute_force():
-    table = {b"x": 1}
     r = np.random.default_rng(0)
     texts = [None, "", "Some Words, and MORE words: naïve 漢字", LONG, "a b c"]
     features = np.sort(r.choice(1 << toxicity.BITS, 400_000, replace=False))
     model = toxicity.Model(features, r.standard_normal(len(features)).astype(np.float32), -0.5)
     weight = dict(zip(features.tolist(), model.weights.tolist()))
-    got = model.scores(pa.array(texts))
-    for t, g in zip(texts, got):
-        seen = set()
-        if t:
-            c = [ord(x) if toxicity._letters()[min(ord(x), 0xFFFF)] else 0 for x in "\0" + t.lower() + "\0"]
-            for n in toxicity.ORDERS:
-                for k in range(len(c) - n + 1):
-                    gram = c[k : k + n]
-                    if 0 in gram[1:-1]:
-                        continue
-                    h = gram[0]
-                    for x in gram[1:]:
-                        h = (h * 0x01000193 + x) & 0xFFFFFFFF
-                    seen.add((((h ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - toxicity.BITS))
-        assert g == pytest.approx(-0.5 + sum(weight.get(f, 0) for f in seen), abs=1e-2)
-    assert table
+    for t, g in zip(texts, model.scores(pa.array(texts))):
+        assert g == pytest.approx(-0.5 + sum(weight.get(f, 0) for f in grams(t)), abs=1e-2)
+
+
+def test_training_by_brute_force(spark, monkeypatch):
+    """Ratios of all n-grams and the fit against a dense logistic regression, solved by Newton's method."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["bad", "awful", "worse"] if i % 3 == 0 and r.random() < 0.3 else ["fine", "good", "day", "Straße", "naïve"]) + r.choice(["", "ly", "er"]) for _ in range(r.randrange(1, 30)))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (0, rows[0][1]), (70, None), (71, "no label")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(70, 1), (5, 0)], "doc_id bigint, toxic int")
+    plain = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda times, y, l2: plain(times, y, l2, rounds=300, tolerance=1e-7))
+    model = toxicity.train(docs, labels)
+    known = [*rows, rows[0]]
+    y = np.array([i % 3 == 0 for i, _ in known], float)
+    has = [grams(t) for _, t in known]
+    names = sorted(set().union(*has))
+    x = np.array([[f in h for f in names] for h in has], float)
+    p, q = x[y > 0].sum(axis=0), x[y == 0].sum(axis=0)
+    ratio = np.log((p + 1) / (y.sum() + 2)) - np.log((q + 1) / ((1 - y).sum() + 2))
+    assert model.features.tolist() == names
+    z = np.column_stack((x * ratio, np.ones(len(y))))
+    w, ridge = np.zeros(z.shape[1]), np.append(np.full(len(names), toxicity.L2), 0)
+    for _ in range(50):
+        pr = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (pr * (1 - pr))[:, None]) + np.diag(ridge + 1e-9), z.T @ (pr - y) + ridge * w)
+    np.testing.assert_allclose(model.weights, w[:-1] * ratio, atol=2e-3)
+    np.testing.assert_allclose(model.scores(pa.array([t for _, t in known])), z @ w, atol=1e-2)
+    assert model.bias == pytest.approx(w[-1], abs=1e-2)
 
 
 def test_toxicity_awkward(spark):

@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.llm import suffix_dedup
 from webloom.llm.text import word_chunks
@@ -61,11 +63,11 @@ def corpus(seed, vocabulary, docs=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,vocabulary,length,sent", [(1, 5000, 12, 1000), (2, 3, 16, 1000), (3, 40, 50, 0), (4, 5000, 9, 0), (5, 2, 20, 1000)])
-def test_equals_brute_force(spark, seed, vocabulary, length, sent):
+@pytest.mark.parametrize("seed,vocabulary,length", [(1, 5000, 12), (2, 3, 16), (3, 40, 50), (4, 5000, 9), (5, 2, 20)])
+def test_equals_brute_force(spark, seed, vocabulary, length):
     rows = corpus(seed, vocabulary)
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id bigint, text string, start int, keys string")
-    assert got(suffix_dedup.repeats(docs, length, sent_keys=sent)) == brute(rows, length)
+    assert got(suffix_dedup.repeats(docs, length)) == brute(rows, length)
 
 
 def test_groups_and_empty_table(spark, monkeypatch):
@@ -76,6 +78,43 @@ def test_groups_and_empty_table(spark, monkeypatch):
     assert suffix_dedup.repeats(docs.where("false")).count() == 0
 
 
+def test_order_is_that_of_suffixes():
+    """parsed_order() against sorting; an order by hashes, say, would fail."""
+    r = np.random.default_rng(6)
+    for vocabulary, cells in ((2, 30), (5, 20), (1000, 10)):
+        size = r.integers(12, 60, cells)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        words = r.integers(0, vocabulary, begin[-1]).astype(np.uint32)
+        words[begin[1] : begin[1] + 12] = words[:12]
+        ends = np.repeat(begin[1:], size)
+        suffixes = np.flatnonzero(np.arange(begin[-1]) + 8 <= ends)
+        got = suffix_dedup.parsed_order(words, begin, suffixes)
+        cell = np.searchsorted(begin, np.arange(begin[-1]), "right") - 1
+        # words in the order of numbers, the ends of cells before all words and in their own order
+        want = sorted(suffixes.tolist(), key=lambda k: [(1, w) for w in words[k : ends[k]].tolist()] + [(0, int(cell[k]))])
+        assert got.tolist() == want
+        runs = suffix_dedup.prefix_runs(words, got, 8)
+        assert len(runs) == len({tuple(words[k : k + 8].tolist()) for k in suffixes})
+        shuffled = r.permutation(got)
+        assert len(suffix_dedup.prefix_runs(words, shuffled, 8)) >= len(runs)
+
+
+def test_equal_cells_are_made_one(spark):
+    """Passages that most documents have, in one task and in several, and rows that are repeated."""
+    text = " ".join(f"b{k}" for k in range(90))
+    rows = [(i, f"{text} tail{i}" if i % 3 else f"head{i} {text} {text}") for i in range(200)] + [(7, f"{text} tail7"), (7, "other " + text)]
+    for docs in (spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)):
+        assert got(suffix_dedup.repeats(docs, 20)) == brute(rows, 20)
+        assert got(suffix_dedup.repeats(docs, 20, within=True)) == brute_within(rows, 20)
+
+
+def test_ids_of_other_types(spark):
+    rows = corpus(3, 300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    named = docs.select(F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("doc_id"), "text")
+    assert {int(k): v for k, v in got(suffix_dedup.repeats(named, 12)).items()} == brute(rows, 12)
+
+
 def brute_within(rows, length):
     """Every passage against all places, (doc_id, first word), that have it."""
     held = defaultdict(set)
@@ -98,13 +137,13 @@ def brute_within(rows, length):
     return {i: (joined(a), joined(b)) for i, (a, b) in out.items()}
 
 
-@pytest.mark.parametrize("seed,vocabulary,length,sent", [(1, 5000, 12, 1000), (2, 3, 16, 1000), (3, 40, 50, 0), (4, 5000, 9, 0), (5, 2, 20, 1000)])
-def test_repeats_within_a_document(spark, seed, vocabulary, length, sent):
+@pytest.mark.parametrize("seed,vocabulary,length", [(1, 5000, 12), (2, 3, 16), (3, 40, 50), (4, 5000, 9), (5, 2, 20)])
+def test_repeats_within_a_document(spark, seed, vocabulary, length):
     rows = corpus(seed, vocabulary)
     own = [f"own{k}" for k in range(60)]
     rows += [(2000, " ".join([*own, "between", *own])), (2001, " ".join(f"once{k}" for k in range(200))), (3, " ".join(["again", *own[:55], "x", *own[:55]]))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = got(suffix_dedup.repeats(docs, length, sent_keys=sent, within=True))
+    found = got(suffix_dedup.repeats(docs, length, within=True))
     assert found == brute_within(rows, length)
     assert 1004 in found and 2000 in found and 2001 not in found
 

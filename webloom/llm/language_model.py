@@ -16,11 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLOBS, Batches, blob_rows, exchange, mapped, new_place, parts_for, released, rows_of, save, typed
+from .shared import BLOBS, Batches, blob_rows, exchange, least_type, mapped, new_place, packed, parts_for, released, rows_of, save, typed, unpacked
 from .text import U64, Words, mix64, word_chunks
 
 UNKNOWN, BOS, EOS, NONE, FIRST = 0, 1, 2, 3, 4
@@ -68,10 +67,6 @@ def shard_of(h: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return ((top * U64(parts)) >> U64(32)).astype(np.int64)
 
 
-def _least_type(top: int):
-    return np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else _U32 if top < 1 << 32 else np.int64
-
-
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where in sorted rows a new one begins."""
     new = np.ones(len(keys[0]), bool)
@@ -85,23 +80,6 @@ def _added(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, at) if len(at) else values[:0]
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length each, compressed by planes of their bytes, with the lengths of both before them."""
-    press = zstandard.ZstdCompressor(level=1).compress
-    parts = [press(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in map(np.ascontiguousarray, arrays)]
-    return b"".join([np.array([[len(a), len(b)] for a, b in zip(arrays, parts)], np.int64).tobytes(), *parts])
-
-
-def _unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(blob, np.int64, 2 * len(kinds)).reshape(-1, 2), 16 * len(kinds), []
-    for (n, size), kind in zip(sizes.tolist(), kinds):
-        wide = np.dtype(kind).itemsize
-        raw = zstandard.ZstdDecompressor().decompress(blob[at : at + size], max_output_size=n * wide) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, n).T).reshape(-1).view(kind))
-        at += size
-    return out
-
-
 def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A small number for each distinct word of some columns, the lowest for the most frequent: words in order, the number of each,
     the words that occur twice or more by number, and the gaps between the others."""
@@ -129,12 +107,12 @@ def _sent_pairs(shard: np.ndarray, parts: int, v: np.ndarray, w: np.ndarray, n:
         of_v = number[np.searchsorted(words, v[at])]
         by = np.argsort(of_v, kind="stable")
         at = at[by]
-        out.append((int(p), _packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), number[np.searchsorted(words, w[at])], n[at])))
+        out.append((int(p), packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), number[np.searchsorted(words, w[at])], n[at])))
     return out
 
 
 def _pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    often, gaps, v, w, n = _unpacked(blob, *[_U32] * 5)
+    often, gaps, v, w, n = unpacked(blob, *[_U32] * 5)
     name = _named(often, gaps)
     return name[np.cumsum(v, dtype=_U32)], name[w], n
 
@@ -146,7 +124,7 @@ def _sent(shard: np.ndarray, parts: int, words: np.ndarray, *numbers: np.ndarray
     out = []
     for p in np.flatnonzero(np.diff(cut)):
         at = order[cut[p] : cut[p + 1]]
-        out.append((int(p), _packed(np.diff(words[at], prepend=_U32(0)), *(x[at] for x in numbers))))
+        out.append((int(p), packed(np.diff(words[at], prepend=_U32(0)), *(x[at] for x in numbers))))
     return out
 
 
@@ -198,7 +176,7 @@ def trigram_blobs(tok: np.ndarray, begin: np.ndarray, parts: int, bits: int) ->
         by = np.argsort(of_v, kind="stable")
         c = c[by]
         rows = _ranges(head[c], size[c])
-        out.append((int(p), _packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), number[np.searchsorted(words, u[c])], size[c].astype(_U32), number[np.searchsorted(words, w[rows])], count[rows])))
+        out.append((int(p), packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), number[np.searchsorted(words, u[c])], size[c].astype(_U32), number[np.searchsorted(words, w[rows])], count[rows])))
     return out
 
 
@@ -240,7 +218,7 @@ def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int, bits: int)
     """Writes shard p of contexts and followers; what it tells of bigrams: v, w, number of left contexts, by shard."""
     got = []
     for b in blobs:
-        often, gaps, v, u, n, w, c = _unpacked(b, *[_U32] * 7)
+        often, gaps, v, u, n, w, c = unpacked(b, *[_U32] * 7)
         name = _named(often, gaps)
         got.append((np.repeat(name[np.cumsum(v, dtype=_U32)], n), np.repeat(name[u], n), name[w], c))
     v, u, w, count = (np.concatenate(x) for x in zip(*got))
@@ -265,7 +243,7 @@ def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int, bits: int)
     more = np.flatnonzero(n3)  # other totals follow from n1 and n2
     save(place, f"ctx-{p}-total", np.stack((more, total[more])))
     save(place, f"ctx-{p}-first", np.concatenate(([0], np.cumsum(n1 + n2 + n3)))[::_BLOCK].astype(np.int64))
-    save(place, f"next-{p}-hi", (w[rows] >> _U32(8)).astype(_least_type((1 << bits) >> 8)))
+    save(place, f"next-{p}-hi", (w[rows] >> _U32(8)).astype(least_type((1 << bits) >> 8)))
     save(place, f"next-{p}-lo", (w[rows] & _U32(255)).astype(np.uint8))
     _save_counts(place, f"next-{p}-count", count[rows])
     save(place, f"stats3-{p}", _of_counts(count[real]))
@@ -282,7 +260,7 @@ def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int, bits: int)
 def _halves(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The first 32 of 2 * bits bits, and the others in as few bytes as they need."""
     rest = max(2 * bits - 32, 0)
-    return (keys >> U64(rest)).astype(_U32), (keys & U64((1 << rest) - 1)).astype(_least_type((1 << rest) - 1))
+    return (keys >> U64(rest)).astype(_U32), (keys & U64((1 << rest) - 1)).astype(least_type((1 << rest) - 1))
 
 
 def find(place: str, p: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,7 +310,7 @@ def add_bigrams(blobs: list[bytes], place: str, p: int, parts: int, bits: int) -
 
 def add_words(blobs: list[bytes], place: str, p: int) -> np.ndarray:
     """Writes shard p of words; numbers of words, of bigrams, and of words with 1, 2, 3, 4, more left contexts."""
-    got = [_unpacked(b, _U32, *[np.int64] * 5) for b in blobs]
+    got = [unpacked(b, _U32, *[np.int64] * 5) for b in blobs]
     cols = [np.concatenate([np.cumsum(g[0], dtype=_U32) if k == 0 else g[k] for g in got]) for k in range(6)]
     order = np.argsort(cols[0], kind="stable")
     cols = [c[order] for c in cols]
@@ -341,7 +319,7 @@ def add_words(blobs: list[bytes], place: str, p: int) -> np.ndarray:
     key = mix64(words.astype(U64))
     by = np.argsort(key)
     save(place, f"word-{p}-key", key[by])
-    save(place, f"word-{p}-counts", rest[:, by].astype(_least_type(int(rest.max(initial=0)))))
+    save(place, f"word-{p}-counts", rest[:, by].astype(least_type(int(rest.max(initial=0)))))
     left = rest[4][rest[4] > 0]
     return np.concatenate(([len(left), left.sum()], _of_counts(left), [(left > 4).sum()]))
 
@@ -363,7 +341,7 @@ def vocabulary(docs: DataFrame, place: str, parts: int) -> dict:
 
         def flush():
             each = np.unique(np.concatenate(held))
-            return blob_rows([(p, _packed(np.diff(each[s], prepend=U64(0)))) for p, s in _sharded(each, parts, 64)])
+            return blob_rows([(p, packed(np.diff(each[s], prepend=U64(0)))) for p, s in _sharded(each, parts, 64)])
 
         for b in batches:
             for _, w in word_chunks(b.column(0)):
@@ -384,7 +362,7 @@ def vocabulary(docs: DataFrame, place: str, parts: int) -> dict:
         got: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for p, x in zip(b.column(0).to_pylist(), b.column(1)):
-                got.setdefault(p, []).append(np.cumsum(_unpacked(x.as_buffer().to_pybytes(), U64)[0], dtype=U64))
+                got.setdefault(p, []).append(np.cumsum(unpacked(x.as_buffer().to_pybytes(), U64)[0], dtype=U64))
         for p, each in got.items():
             words = np.unique(np.concatenate(each))
             save(place, f"vocabulary-{p}", words)

@@ -13,6 +13,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,3 +154,25 @@ def _opened(place: str, name: str) -> np.ndarray:
             copy.write(data)
         copy.flush()
         return np.load(copy.name, mmap_mode="r")  # the mapping outlives the file's name
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length each, compressed by planes of their bytes, with the lengths of both before them."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    parts = [press(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in map(np.ascontiguousarray, arrays)]
+    return b"".join([np.array([[len(a), len(b)] for a, b in zip(arrays, parts)], np.int64).tobytes(), *parts])
+
+
+def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(blob, np.int64, 2 * len(kinds)).reshape(-1, 2), 16 * len(kinds), []
+    for (n, size), kind in zip(sizes.tolist(), kinds):
+        wide = np.dtype(kind).itemsize
+        raw = zstandard.ZstdDecompressor().decompress(blob[at : at + size], max_output_size=n * wide) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, n).T).reshape(-1).view(kind))
+        at += size
+    return out
+
+
+def least_type(top: int):
+    """The narrowest kind of number that holds up to top."""
+    return np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64

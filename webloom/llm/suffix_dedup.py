@@ -8,8 +8,10 @@ cell's is too.
 
 There the cells' words are one text, parsed prefix-free: rolling-hash triggers cut it into phrases that overlap by TRIGGER words.
 The suffix array of the distinct phrases (the dictionary) and that of the phrase numbers (the parse) combine into the order of the text's
-suffixes: first by the rest of the phrase, then by the parse from the next phrase on. In that order equal passages are neighbours.
-Highly repetitive text has a small dictionary, and only that is sorted by words.
+suffixes: first by the rest of the phrase, then by the parse from the next phrase on. In that order equal passages are neighbours, and
+those are equal that have `length` words in common with the suffix before them. Highly repetitive text has a small dictionary, and only
+that is sorted by words. Groups of cells follow one another by their minimizers, so that the corpus has one order: by minimizer, then
+by suffix.
 """
 
 from __future__ import annotations
@@ -20,18 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .fm_index import suffix_array
-from .shared import BLOBS, Batches, blob_rows, exchange, partitions, rows_of, written
+from .shared import BLOBS, Batches, blob_rows, exchange, mapped, new_place, parts_for, released, rows_of, save, written
 from .text import U64, Words, mix64, powers, word_chunks
 
 LENGTH = 50
 #: Words of the runs whose least hash is a passage's minimizer; words of a trigger; one run in TRIGGER_EVERY is a trigger.
 ANCHOR, TRIGGER, TRIGGER_EVERY = 10, 4, 8
-#: Minimizers of several cells up to which they are sent to all tasks; beyond, they join the documents by shuffle.
-SENT_KEYS = 4_000_000
 #: Words that are parsed and sorted at once; cells of one minimizer are never parted.
 GROUP_WORDS = 1 << 20
+#: Bytes of texts of which equal cells are made one before they travel.
+CELL_STEP = 16 << 20
 _PLACE_BITS = 30
 
 
@@ -85,59 +88,100 @@ def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(p), order[cut[p] : cut[p + 1]]
 
 
-def shared_keys(docs: DataFrame, length: int, parts: int, within: bool = False) -> DataFrame:
-    """doc_id, keys (binary, 8 bytes each): each document's minimizers that other documents have too (within: or other cells of its own), in some rows."""
+def shared_keys(docs: DataFrame, length: int, parts: int, within: bool = False) -> str:
+    """Where the minimizers are that several documents have (within: or several cells of one), in sorted files by partition. Of a minimizer
+    each step of a task sends the least and the greatest document, however many have it."""
+    place = new_place(docs.sparkSession, "minimizers")
 
     def spread(batches: Batches) -> Batches:
         def step(b: pa.RecordBatch):
             ids = b.column(0).to_numpy()
-            for row, w in word_chunks(b.column(1)):
-                doc, _, _, key = cells(w, length)
-                if len(doc):
-                    both, times = np.unique(np.stack((key, ids[row + doc].view(U64)), axis=1), axis=0, return_counts=True)
-                    if within:
-                        both = np.repeat(both, np.minimum(times, 2), axis=0)
-                    yield blob_rows([(p, both[at].T.tobytes()) for p, at in _by_part(both[:, 0], parts)])
+            held = [(key, ids[row + doc]) for row, w in word_chunks(b.column(1)) for doc, _, _, key in [cells(w, length)] if len(doc)]
+            if held:
+                key, doc = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((doc, key))
+                key, doc = key[order], doc[order]
+                at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                last = np.append(at[1:], len(key)) - 1
+                more = last > at if within else doc[last] != doc[at]
+                key, doc = np.concatenate((key[at], key[at[more]])), np.concatenate((doc[at], doc[last[more]]))
+                yield blob_rows([(p, np.stack((key[k], doc[k].view(U64))).tobytes()) for p, k in _by_part(key, parts)])
 
         return rows_of(batches, step)
 
     def meet(batches: Batches) -> Batches:
-        got = [np.frombuffer(x.as_buffer(), U64).reshape(2, -1) for b in batches for x in b.column(1)]
-        if not got:
-            return
-        key, doc = np.concatenate(got, axis=1)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order].view(np.int64)
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        last = np.append(at[1:], len(key)) - 1
-        several = np.repeat(at != last if within else doc[at] != doc[last], last - at + 1)
-        several[1:] &= (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])  # each once
-        key, doc = key[several], doc[several]
-        order = np.argsort(doc, kind="stable")
-        key, doc = key[order], doc[order]
-        if len(doc):
-            at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            ends = np.append(at[1:], len(doc))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array([key[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], ["doc_id", "keys"])
-
-    return exchange(docs.mapInArrow(spread, BLOBS), parts).mapInArrow(meet, "doc_id bigint, keys binary")
-
-
-def cell_blobs(ids: np.ndarray, texts: pa.Array, wanted, length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Cells whose minimizer is wanted, packed for their partitions: number of cells; of each its minimizer, document, first word and passages; words."""
+        each: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
+                each.setdefault(p, []).append(np.frombuffer(x.as_buffer().to_pybytes(), U64).reshape(2, -1))
+        for p, got in each.items():
+            key, doc = np.concatenate(got, axis=1)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            last = np.append(at[1:], len(key)) - 1
+            save(place, f"keys-{p}", key[at[last > at if within else doc[at] != doc[last]]])
+            yield blob_rows([(p, b"")])
+        released()
+
+    exchange(docs.mapInArrow(spread, BLOBS), parts).mapInArrow(meet, BLOBS).count()
+    return place
+
+
+def is_shared(place: str, key: np.ndarray, parts: int) -> np.ndarray:
+    """Which minimizers are in the files of shared_keys(), which are mapped into memory."""
+    out = np.zeros(len(key), bool)
+    for p, at in _by_part(key, parts):
+        have = mapped(place, f"keys-{p}")
+        if have is not None and len(have):
+            out[at] = have[np.minimum(np.searchsorted(have, key[at]), len(have) - 1)] == key[at]
+    return out
+
+
+def cell_blobs(ids: np.ndarray, texts: pa.Array, wanted, length: int, parts: int, within: bool) -> Iterator[pa.RecordBatch]:
+    """Cells whose minimizer is wanted, packed for their partitions: number of cells; of each its minimizer, document, first word and passages; words.
+
+    Of cells with equal words only those of the least document (within: the one at the least place) travel. Of the others it is
+    known here that they stand elsewhere, and at a lesser place: they are sent as spans, -1 and arrays of document, kind, start and end.
+    """
+    held = []
     for row, w in word_chunks(texts):
         doc, start, count, key = cells(w, length)
-        ok = wanted(row, doc, key) if len(doc) else np.zeros(0, bool)
-        if not ok.any():
-            continue
-        doc, start, count, key = doc[ok], start[ok], count[ok], key[ok]
-        out = []
-        short = (w.hashes >> U64(32)).astype(np.uint32)
-        first = (start - w.first[doc]).astype(np.int32)
-        for p, at in _by_part(key, parts):
+        ok = wanted(key) if len(doc) else np.zeros(0, bool)
+        if ok.any():
+            doc, start, count, key = doc[ok], start[ok], count[ok], key[ok]
+            up, down = powers(len(w.hashes) + 1)
+            sums = np.concatenate((np.zeros(1, U64), np.cumsum((w.hashes + U64(1)) * up[: len(w.hashes)], dtype=U64)))
+            content = mix64((sums[start + count + length - 1] - sums[start]) * down[start]) ^ mix64(count.astype(U64))
+            held.append((w, ids[row + doc], start, start - w.first[doc], count, key, content))
+    if not held:
+        return
+    own, first, count, content = (np.concatenate([h[k] for h in held]) for k in (1, 3, 4, 6))
+    order = np.lexsort((first, own, content))
+    new = np.concatenate(([True], content[order][1:] != content[order][:-1]))
+    group = np.cumsum(new) - 1
+    head = order[new][group]
+    at_home = own[order] == own[head]
+    at_head = at_home & (first[order] == first[head])
+    told = ~(at_head if within else at_home)
+    travels = np.zeros(len(order), bool)
+    travels[order] = new if within else at_home
+    known = np.concatenate((order[told], order[told], order[~told & (np.bincount(group, told)[group] > 0)]))
+    if len(known):
+        kind = np.concatenate((np.zeros(told.sum(), np.int64), np.ones(told.sum(), np.int64), np.zeros(len(known) - 2 * told.sum(), np.int64)))
+        part = (mix64(own[known].view(U64)) % U64(parts)).astype(np.int64)
+        spans = np.stack((own[known], kind, first[known], first[known] + count[known] + length - 1))
+        yield blob_rows([(int(p), np.int64(-1).tobytes() + spans[:, part == p].tobytes()) for p in np.unique(part)])
+    begin = 0
+    for w, own, start, first, count, key, _ in held:
+        go = np.flatnonzero(travels[begin : begin + len(own)])
+        begin += len(own)
+        short, out = (w.hashes >> U64(32)).astype(np.uint32), []
+        for p, at in _by_part(key[go], parts):
+            at = go[at]
             size = count[at] + length - 1
             words = short[np.repeat(start[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-            out.append((p, b"".join((np.int64(len(at)).tobytes(), key[at].tobytes(), ids[row + doc[at]].tobytes(), first[at].tobytes(), count[at].astype(np.int32).tobytes(), words.tobytes()))))
+            out.append((p, b"".join((np.int64(len(at)).tobytes(), key[at].tobytes(), own[at].tobytes(), first[at].astype(np.int32).tobytes(), count[at].astype(np.int32).tobytes(), words.tobytes()))))
         yield blob_rows(out)
 
 
@@ -210,6 +254,19 @@ def parsed_order(words: np.ndarray, begin: np.ndarray, suffixes: np.ndarray) ->
     return suffixes[np.lexsort((parse_rank[place[j] + 1], alpha))]
 
 
+def prefix_runs(words: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Where in suffix order a new prefix of `length` words begins: where a suffix has less in common with the one before it. Words are
+    compared one by one, of those pairs that are still alike."""
+    new = np.ones(len(order), bool)
+    alike = np.arange(1, len(order))
+    for k in range(length):
+        alike = alike[words[order[alike] + k] == words[order[alike - 1] + k]]
+        if not len(alike):
+            break
+    new[alike] = False
+    return np.flatnonzero(new)
+
+
 def shared_in(key, doc, first, count, words, length: int, within: bool = False) -> tuple[np.ndarray, ...]:
     """Document, kind (0: in some other document too; 1: in one of a lesser id too), first word and end of the shared passages of cells.
     within: places (document, first word) count in place of documents."""
@@ -219,11 +276,10 @@ def shared_in(key, doc, first, count, words, length: int, within: bool = False)
     cell = np.repeat(np.arange(len(count)), count)
     suffixes = begin[cell] + np.arange(offset[-1]) - offset[cell]
     order = parsed_order(words, begin, suffixes)
-    h = run_hashes(words.astype(U64), length)[order]
     of = np.searchsorted(begin, order, "right") - 1
     own = doc[of]
-    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    per = np.diff(np.append(at, len(h)))
+    at = prefix_runs(words, order, length)
+    per = np.diff(np.append(at, len(order)))
     least, most = np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
     several, earlier = np.repeat(least != most, per), np.repeat(least, per) < own
     if within:
@@ -252,7 +308,14 @@ def shared_in(key, doc, first, count, words, length: int, within: bool = False)
 
 
 def intervals(blobs: list[bytes], length: int, within: bool = False) -> Iterator[pa.RecordBatch]:
-    """The shared passages of a partition's cells, in groups of about GROUP_WORDS words."""
+    """The shared passages of a partition's cells, in groups of about GROUP_WORDS words, and what is known before."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    for b in blobs:
+        if np.frombuffer(b, np.int64, 1)[0] < 0:
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(k) for x, k in zip(np.frombuffer(b, np.int64, -1, 8).reshape(4, -1), kinds)], ["doc_id", "kind", "start", "end"])
+    blobs = [b for b in blobs if np.frombuffer(b, np.int64, 1)[0] >= 0]
+    if not blobs:
+        return
     key, doc, first, count, _ = (np.concatenate(x) for x in zip(*((k, d, f, c, np.zeros(0)) for k, d, f, c, _ in map(_unpacked, blobs))))
     words = np.concatenate([_unpacked(b)[4] for b in blobs])
     size = count.astype(np.int64) + length - 1
@@ -268,10 +331,10 @@ def intervals(blobs: list[bytes], length: int, within: bool = False) -> Iterator
         text = words[np.repeat(begin[at] - np.concatenate(([0], np.cumsum(s)[:-1])), s) + np.arange(s.sum())]
         found = shared_in(key[at], doc[at], first[at], count[at], text, length, within)
         if len(found[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "kind", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds)], ["doc_id", "kind", "start", "end"])
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, sent_keys: int = SENT_KEYS, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
     """doc_id, repeated, removable: a row for each document with a passage of `length` words that another document has too
     or, with within, that stands at another place of its own.
 
@@ -279,43 +342,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, sent_keys: int = SENT_KEYS, i
     every such passage, removable those that a document of a lesser id has (within: or that stand at a lesser word of the same), so that
     one copy of each stays when these are cut; of a passage that overlaps its own copy, only the words before the second stay.
     Whatever stands between words is left out of account. Without within, passages that only one document repeats don't count. Null, empty and
-    short texts have none; rows with a null id are left out; rows of one id are one document, whose texts' spans lie together;
-    extra columns are left out; an empty table gives an empty result.
+    short texts have none; long texts are read whole; rows with a null id are left out; rows of one id are one document, whose texts'
+    spans lie together, so that ids are never tied; extra columns are left out; an empty table gives an empty result. Ids that aren't
+    integers are numbered in their order while passages meet.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    keys = written(shared_keys(base, length, parts, within), "minimizers")
-    if (keys.agg(F.sum(F.length("keys"))).first()[0] or 0) <= 8 * sent_keys:
-        each = np.unique(np.concatenate([np.zeros(0, U64), *(np.frombuffer(r["keys"], U64) for r in keys.select("keys").toLocalIterator())]))
-        sent = spark.sparkContext.broadcast(each)
-
-        def spread(batches: Batches) -> Batches:
-            have = sent.value
-
-            def step(b: pa.RecordBatch):
-                wanted = lambda row, doc, key: have[np.minimum(np.searchsorted(have, key), len(have) - 1)] == key
-                yield from cell_blobs(b.column(0).to_numpy(), b.column(1), wanted, length, parts)
+    parts = parts_for(docs)
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = None
+    if not isinstance(base.schema["doc_id"].dataType, IntegralType):
+        ordered = written(base.select(F.col("doc_id").alias("name")).distinct().orderBy("name"), "ids")
+        names = written(ordered.orderBy("name").select("name", F.monotonically_increasing_id().alias("number")), "numbers")
+        base = base.join(names, F.col("doc_id") == F.col("name")).select(F.col("number").alias("doc_id"), "text")
+    kind = base.schema["doc_id"].dataType
+    base = base.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    place = shared_keys(base, length, parts, within)
 
-            return rows_of(batches, step) if len(have) else iter(())
-
-        blobs = base.mapInArrow(spread, BLOBS)
-    else:
-
-        def spread_joined(batches: Batches) -> Batches:
-            def step(b: pa.RecordBatch):
-                lists = [np.concatenate([np.frombuffer(x, U64) for x in some]) for some in b.column(2).to_pylist()]
-
-                def wanted(row, doc, key):
-                    cut = np.searchsorted(doc, np.arange(doc[-1] + 2))
-                    return np.concatenate([np.isin(key[cut[d] : cut[d + 1]], lists[row + d]) for d in range(doc[-1] + 1)])
-
-                yield from cell_blobs(b.column(0).to_numpy(), b.column(1), wanted, length, parts)
-
-            return rows_of(batches, step)
+    def spread(batches: Batches) -> Batches:
+        return rows_of(batches, lambda b: cell_blobs(b.column(0).to_numpy(), b.column(1), lambda key: is_shared(place, key, parts), length, parts, within), CELL_STEP)
 
-        per = keys.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
-        blobs = base.join(per, "doc_id").select("doc_id", "text", "keys").mapInArrow(spread_joined, BLOBS)
+    blobs = base.mapInArrow(spread, BLOBS)
 
     def meet(batches: Batches) -> Batches:
         got = [x.as_buffer().to_pybytes() for b in batches for x in b.column(1)]
@@ -327,7 +372,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, sent_keys: int = SENT_KEYS, i
     runs = found.repartition("doc_id").withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     spans = runs.groupBy("doc_id", "kind", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     of = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("start", "end"))))
-    return spans.groupBy("doc_id").agg(of(0).alias("repeated"), of(1).alias("removable"))
+    found = spans.groupBy("doc_id").agg(of(0).alias("repeated"), of(1).alias("removable"))
+    if names is None:
+        return found.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return found.join(names, F.col("doc_id") == F.col("number")).select(F.col("name").alias("doc_id"), "repeated", "removable")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
