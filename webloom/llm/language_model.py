@@ -80,15 +80,21 @@ def _added(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, at) if len(at) else values[:0]
 
 
-def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A small number for each distinct word of some columns, the lowest for the most frequent: words in order, the number of each,
-    the words that occur twice or more by number, and the gaps between the others."""
+def _numbered(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Some columns of words in small numbers, the lowest for the most frequent; the words that occur twice or more by number, and the
+    gaps between the others."""
     words, count = np.unique(np.concatenate(columns), return_counts=True)
     often = np.flatnonzero(count > 1)
     order = np.concatenate((often[np.argsort(-count[often], kind="stable")], np.flatnonzero(count == 1)))
     number = np.empty(len(words), _U32)
     number[order] = np.arange(len(words), dtype=_U32)
-    return words, number, words[order[: len(often)]], np.diff(words[order[len(often) :]], prepend=_U32(0))
+    if words[-1] < 1 << 24:  # a table is faster than a search
+        table = np.empty(int(words[-1]) + 1, _U32)
+        table[words] = number
+        numbered = [table[c] for c in columns]
+    else:
+        numbered = [number[np.searchsorted(words, c)] for c in columns]
+    return numbered, words[order[: len(often)]], np.diff(words[order[len(often) :]], prepend=_U32(0))
 
 
 def _named(often: np.ndarray, gaps: np.ndarray) -> np.ndarray:
@@ -103,11 +109,9 @@ def _sent_pairs(shard: np.ndarray, parts: int, v: np.ndarray, w: np.ndarray, n:
     out = []
     for p in np.flatnonzero(np.diff(cut)):
         at = order[cut[p] : cut[p + 1]]
-        words, number, often, gaps = _numbered(v[at], w[at])
-        of_v = number[np.searchsorted(words, v[at])]
+        (of_v, of_w), often, gaps = _numbered(v[at], w[at])
         by = np.argsort(of_v, kind="stable")
-        at = at[by]
-        out.append((int(p), packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), number[np.searchsorted(words, w[at])], n[at])))
+        out.append((int(p), packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), of_w[by], n[at[by]])))
     return out
 
 
@@ -171,12 +175,11 @@ def trigram_blobs(tok: np.ndarray, begin: np.ndarray, parts: int, bits: int) ->
     out = []
     for p in np.flatnonzero(np.diff(cut)):
         c = order[cut[p] : cut[p + 1]]
-        words, number, often, gaps = _numbered(v[c], u[c], w[_ranges(head[c], size[c])])
-        of_v = number[np.searchsorted(words, v[c])]
-        by = np.argsort(of_v, kind="stable")
-        c = c[by]
         rows = _ranges(head[c], size[c])
-        out.append((int(p), packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), number[np.searchsorted(words, u[c])], size[c].astype(_U32), number[np.searchsorted(words, w[rows])], count[rows])))
+        (of_v, of_u, of_w), often, gaps = _numbered(v[c], u[c], w[rows])
+        by = np.argsort(of_v, kind="stable")
+        inner = _ranges((np.cumsum(size[c]) - size[c])[by], size[c][by])
+        out.append((int(p), packed(often, gaps, np.diff(of_v[by], prepend=_U32(0)), of_u[by], size[c][by].astype(_U32), of_w[inner], count[rows[inner]])))
     return out
 
 
@@ -211,7 +214,7 @@ def _of_counts(counts: np.ndarray) -> np.ndarray:
 
 
 #: Contexts to each of which the place of its first follower is stored; in between, numbers of followers are added up.
-_BLOCK = 32
+_BLOCK = 8
 
 
 def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int, bits: int) -> list[tuple[int, bytes]]:
@@ -242,7 +245,7 @@ def add_trigrams(blobs: list[bytes], place: str, p: int, parts: int, bits: int)
         _save_counts(place, f"ctx-{p}-{name}", x)
     more = np.flatnonzero(n3)  # other totals follow from n1 and n2
     save(place, f"ctx-{p}-total", np.stack((more, total[more])))
-    save(place, f"ctx-{p}-first", np.concatenate(([0], np.cumsum(n1 + n2 + n3)))[::_BLOCK].astype(np.int64))
+    save(place, f"ctx-{p}-first", np.concatenate(([0], np.cumsum(n1 + n2 + n3)))[::_BLOCK].astype(least_type(len(rows))))
     save(place, f"next-{p}-hi", (w[rows] >> _U32(8)).astype(least_type((1 << bits) >> 8)))
     save(place, f"next-{p}-lo", (w[rows] & _U32(255)).astype(np.uint8))
     _save_counts(place, f"next-{p}-count", count[rows])
