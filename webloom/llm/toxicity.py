@@ -43,7 +43,7 @@ def codes(arr: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     texts = lowered(arr).to_pylist()
     sizes = np.array([len(t or "") + 1 for t in texts])
     off = np.concatenate(([0], np.cumsum(sizes)))
-    for a, b in chunks(off, 1 << 19):
+    for a, b in chunks(off, 1 << 16):
         c = np.frombuffer(("\0" + "\0".join([t or "" for t in texts[a:b]]) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         table = _letters()
         c[~table[np.minimum(c, 0xFFFF)]] = 0
@@ -54,6 +54,9 @@ def hits(c: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) of each n-gram, in order."""
     zeros = np.concatenate(([0], np.cumsum(c == 0)))
     h = c.copy()
+    kind = np.uint32 if len(off) - 1 <= 1 << (32 - BITS) else np.int64  # of text and feature in one
+    of = np.repeat(np.arange(len(off) - 1).astype(kind) << kind(BITS), np.diff(off))
+    of = np.concatenate((of, of[-1:]))
     found = []
     for n in range(2, max(ORDERS) + 1):
         m = len(c) - n + 1
@@ -64,10 +67,12 @@ def hits(c: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             feature = ((h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
             ok = zeros[n - 1 : n - 1 + m] == zeros[1 : m + 1]  # no word edge inside
             at = np.flatnonzero(ok)
-            doc = np.searchsorted(off, at, "right") - 1
-            found.append((np.minimum(doc, len(off) - 2) << BITS) | feature[at])
-    key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1)
+            found.append(of[at] | feature[at])
+    key = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    key = key[new]
+    return (key >> BITS).astype(np.int64), (key & kind((1 << BITS) - 1)).astype(np.int64)
 
 
 @dataclass
