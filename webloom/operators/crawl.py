@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.html_tree import Node, parse_html
-from ..functions.xpath import Page, XArray, XMap, evaluate, text_of
+from ..functions.xpath import Page, XArray, XMap, compiled, evaluate, text_of
 from ..functions.xpath_functions import plain
 from ..plans.language import Closure, Extract, Hop, Program, Seed, parse
 from ..sources.tables import corpus as corpus_of
@@ -43,6 +43,36 @@ class Hooks:
         return value
 
 
+#: Hooks that crawl() uses when it is given none, by name, in the order in which they came.
+REGISTERED: dict[str, Hooks] = {}
+
+
+def register(hook: Hooks | type[Hooks]):
+    """Adds a hook, or an instance of a class of hooks, unless one of that name is there. Returns what it was given, so that it decorates."""
+    REGISTERED.setdefault(getattr(hook, "__name__", type(hook).__name__), hook() if isinstance(hook, type) else hook)
+    return hook
+
+
+class Piped(Hooks):
+    """Values through functions, one after the other; None drops a value."""
+
+    def __init__(self, *functions: Callable[[object], object | None]):
+        self.functions = functions
+
+    def post_extract(self, value: object) -> object | None:
+        for f in self.functions:
+            if value is None:
+                return None
+            value = f(value)
+        return value
+
+
+def pipe_post_extract(f: Callable[[object], object | None]) -> Callable[[object], object | None]:
+    """Registers a function of values as a hook under the function's name."""
+    REGISTERED.setdefault(f.__name__, Piped(f))
+    return f
+
+
 def as_text(x: object) -> str | None:
     """An item as it stands in a column: elements as markup, maps and arrays as JSON, all else as text."""
     if isinstance(x, Node):
@@ -159,54 +189,76 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def extract(pages: DataFrame, expression: str, schema: str | None = None) -> DataFrame:
+def extract(pages: DataFrame, expression: str, schema: str | None = None, yield_errors: bool = False) -> DataFrame:
     """url, pos, value: what an XPath expression yields on each page, one row an item. With schema (DDL), value is a record of it.
 
-    Only url and html of pages are read. Null or empty pages yield nothing, and neither do pages on which the expression fails.
+    Only url and html of pages are read. An expression that can't be parsed is an error at once. Null or empty pages yield nothing, and so
+    do pages on which the expression fails, unless yield_errors asks for a column error, with a row (null pos and value) for each.
     """
-    kind = StructType.fromDDL("url string, pos int, value string")
+    compiled(expression)
+    kind = StructType.fromDDL("url string, pos int, value string, error string")
 
     def rows(r: dict) -> Iterator[tuple]:
         if not r["html"]:
             return
         try:
             items = evaluate(expression, parse_html(r["html"]), Page(r["url"] or ""), memo={})
-            yield from [(r["url"], k, as_text(x)) for k, x in enumerate(items)]
-        except ValueError:
-            return
+            yield from [(r["url"], k, as_text(x), None) for k, x in enumerate(items)]
+        except Exception as e:
+            if yield_errors:
+                yield (r["url"], None, None, f"{type(e).__name__}: {e}")
 
     out = pages.select("url", "html").mapInArrow(_in_arrow(rows, kind), kind)
-    return out.withColumn("value", F.from_json("value", schema)) if schema else out
+    out = out.withColumn("value", F.from_json("value", schema)) if schema else out
+    return out if yield_errors else out.drop("error")
 
 
 def crawl(
     spark: SparkSession,
     expression: str | Program,
-    pages: DataFrame,
+    pages: DataFrame | Callable[[DataFrame], DataFrame],
     max_depth: int = 1,
     schema: str | None = None,
     yield_errors: bool = False,
-    hooks: Sequence[Hooks] = (),
+    hooks: Sequence[Hooks] | None = None,
     allowed_codes: Sequence[int] = (200,),
     allow_redirects: bool = True,
     robots: DataFrame | None = None,
     user_agent: str = "*",
     seen: DataFrame | None = None,
     seeds: DataFrame | None = None,
+    limit: int | None = None,
+    progress: Callable[[dict], None] | None = None,
 ) -> DataFrame:
     """depth, path, url, backlink, value of everything that the program yields (with schema, value is a record); order by depth and path.
 
-    pages: url and html, and optionally status, headers, error, request_start and response_end. A depth in the program goes before
+    pages: url and html, and optionally status, headers, error, request_start, response_end and request_url; or a function that makes such a
+    table of a table of URLs, as sources.live.fetch does: it is called once a level. A depth in the program goes before
     max_depth. With yield_errors also reason, status and exception, and rows for pages that couldn't be had: network_error (not in
-    the corpus, or with an error), bad_status (a code not allowed, or no body), page_error. robots: host and robots_txt; seen:
-    a table of URLs that count as visited before. seeds: a table of URLs to start from instead of the program's own.
+    the corpus, or with an error), bad_status (a code not allowed, or no body), unexpected_response (a row that answers a request by
+    another URL, see corpus()), page_error. robots: host and robots_txt; seen: a table of URLs that count as visited before. seeds: a
+    table of URLs to start from instead of the program's own. hooks: without any given, the registered ones. limit: so many values at
+    most, the first in order; no level is visited after the one that makes them up. progress: is called after each level with its depth and
+    how many values, links and errors it had.
     """
-    levels = list(crawl_levels(spark, expression, pages, max_depth, hooks, allowed_codes, allow_redirects, robots, user_agent, seen, seeds))
+    levels, left = [], limit
+    for level in crawl_levels(spark, expression, pages, max_depth, list(REGISTERED.values()) if hooks is None else hooks, allowed_codes, allow_redirects, robots, user_agent, seen, seeds):
+        levels.append(level)
+        if left is not None or progress:
+            n = {r["kind"]: r["count"] for r in level.groupBy("kind").count().collect()}
+            if progress:
+                progress({"depth": len(levels) - 1, **{k: n.get(k, 0) for k in ("data", "link", "error")}})
+            if left is not None:
+                left -= n.get("data", 0)
+                if left <= 0:
+                    break
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
     columns = ["depth", "path", "url", "backlink", "value"] + (["reason", "status", "exception"] if yield_errors else [])
     out = out.where(F.col("kind") == "data" if not yield_errors else F.col("kind").isin("data", "error")).select(columns)
+    if limit is not None:
+        out = out.orderBy("depth", "path").limit(limit)
     return out.withColumn("value", F.from_json("value", schema)) if schema else out
 
 
@@ -215,7 +267,7 @@ def crawl_levels(spark, expression, pages, max_depth=1, hooks=(), allowed_codes=
     program = expression if isinstance(expression, Program) else parse(expression)
     most = program.max_depth if program.max_depth is not None else max_depth
     codes = sorted({*allowed_codes, *(REDIRECTS if allow_redirects else ())})
-    web = corpus_of(pages)
+    web = None if callable(pages) else corpus_of(pages)
     kind = StructType.fromDDL(_OUT)
     run = _in_arrow(_page_function(program, hooks, most), kind)
     expand = -2 if isinstance(program.start, Seed) and program.start.follow else -1
@@ -230,14 +282,18 @@ def crawl_levels(spark, expression, pages, max_depth=1, hooks=(), allowed_codes=
     frontier = written(frontier, "frontier")
     visited = frontier.select("url") if seen is None else frontier.select("url").unionByName(seen.select("url"))
     for depth in range(most + 1):
-        asked = small(frontier)
-        found = web.join(asked, "url", "right")
+        # the frontier goes to the corpus; which of its URLs have no page is told by URLs alone, so that no page is shuffled or broadcast
+        if callable(pages):
+            web = corpus_of(written(pages(frontier.select("url")), "fetched"))
+        asked = small(frontier.withColumnRenamed("url", "asked"))
+        there = web.select("asked").join(asked.select("asked"), "asked", "left_semi").distinct()
+        found = web.join(asked, "asked").unionByName(asked.join(there, "asked", "left_anti").withColumn("url", F.col("asked")), allowMissingColumns=True)
         if robots is not None:
             from .politeness import with_permission
 
             found = with_permission(found, robots, user_agent).withColumn("error", F.when(F.col("allowed"), F.col("error")).otherwise("robots.txt")).withColumn("status", F.when(F.col("allowed"), F.col("status")).otherwise(403)).drop("allowed")
         missing, empty = F.col("status").isNull(), F.coalesce(F.length("html"), F.lit(0)) == 0
-        reason = F.when(missing | F.col("error").isNotNull(), "network_error").when(~F.col("status").isin(*codes) | empty, "bad_status")
+        reason = F.when(F.col("url") != F.col("asked"), "unexpected_response").when(missing | F.col("error").isNotNull(), "network_error").when(~F.col("status").isin(*codes) | empty, "bad_status")
         found = found.withColumn("reason", reason).withColumn("latency", F.col("response_end") - F.col("request_start"))
         good = found.where("reason is null").select(_IN).mapInArrow(run, kind)
         bad = found.where("reason is not null").select(
@@ -257,14 +313,18 @@ def crawl_levels(spark, expression, pages, max_depth=1, hooks=(), allowed_codes=
 
 
 def edges(pages: DataFrame, links: str = "//a/@href") -> DataFrame:
-    """src, pos, href, dst: the links of each page, resolved."""
+    """src, pos, href, dst: the links of each page, resolved (null where that fails). A page that can't be read has none."""
+    compiled(links)
     kind = StructType.fromDDL("src string, pos int, href string, dst string")
 
     def rows(r: dict) -> Iterator[tuple]:
         if not r["html"]:
             return
-        for k, x in enumerate(evaluate(links, parse_html(r["html"]), Page(r["url"] or ""), memo={})):
-            href = text_of(x)
+        try:
+            hrefs = [text_of(x) for x in evaluate(links, parse_html(r["html"]), Page(r["url"] or ""), memo={})]
+        except Exception:  # as extract() does
+            return
+        for k, href in enumerate(hrefs):
             try:
                 yield (r["url"], k, href, urljoin(r["url"] or "", href))
             except ValueError:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pages import host
@@ -57,6 +58,67 @@ def throttle_delay(latency: Column, target: float = 4.0, cap: float = 10.0) -> C
     return F.least(F.lit(cap), F.greatest(F.lit(0.0), latency / F.lit(target)))
 
 
+@dataclass(frozen=True)
+class AutoThrottle:
+    """Pauses that follow a host's smoothed latency; `start` before there is one."""
+
+    target: float = 4.0
+    cap: float = 10.0
+    start: float = 0.25
+
+    def delay(self, host: Column, latency: Column) -> Column:
+        return F.when(latency.isNull(), F.lit(self.start)).otherwise(throttle_delay(latency, self.target, self.cap))
+
+
+@dataclass(frozen=True)
+class FixedDelay:
+    """The same pause for all, but for hosts that have their own."""
+
+    seconds: float = 1.0
+    by_host: tuple[tuple[str, float], ...] = ()
+
+    def delay(self, host: Column, latency: Column) -> Column:
+        out = F.lit(float(self.seconds))
+        for name, seconds in self.by_host:
+            out = F.when(host == name, F.lit(float(seconds))).otherwise(out)
+        return out
+
+
+@dataclass(frozen=True)
+class NoDelay:
+    def delay(self, host: Column, latency: Column) -> Column:
+        return F.lit(0.0)
+
+
+@dataclass(frozen=True)
+class Retry:
+    """When to try again, and after how long."""
+
+    most: int = 3
+    codes: tuple[int, ...] = RETRY_CODES
+    base: float = 0.5
+    cap: float = 30.0
+
+    def again(self, status: Column, failed: Column, retries: Column) -> Column:
+        return should_retry(status, failed, retries, self.most, self.codes)
+
+    def wait(self, attempt: Column, jitter: Column | None = None) -> Column:
+        return backoff(attempt, self.base, self.cap, jitter)
+
+
+def smoothed_by(samples: DataFrame, key: str, order: list[str], value: str, weight_of_old: float, start: float | None = None) -> DataFrame:
+    """key, smoothed: the exponentially smoothed value of each key's samples in order, from start or the first sample on. A weighted sum over
+    ranks: samples are sorted within a key, but never gathered."""
+    w = Window.partitionBy(key)
+    ranked = samples.select(key, value, F.row_number().over(w.orderBy(*(F.col(c).desc() for c in order))).alias("_back"), F.row_number().over(w.orderBy(*order)).alias("_at"))
+    first = (F.col("_at") == 1) & F.lit(start is None)
+    weight = F.pow(F.lit(float(weight_of_old)), F.col("_back") - 1) * F.when(first, F.lit(1.0)).otherwise(F.lit(1 - weight_of_old))
+    out = F.sum(weight * F.col(value))
+    if start is not None and start:
+        out = out + F.lit(float(start)) * F.pow(F.lit(float(weight_of_old)), F.count("*"))
+    return ranked.groupBy(key).agg(out.alias("smoothed"))
+
+
 def smoothed(samples: Column, weight_of_old: float, start: float | None = None) -> Column:
     """Exponentially smoothed value of an array in order; it begins at start, or at the first sample."""
     first = F.lit(start) if start is not None else F.get(samples, F.lit(0))

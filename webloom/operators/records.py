@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def documents(records: DataFrame, text: str = "text") -> DataFrame:
     """page_content and metadata (map): the text of each record, its other columns as metadata; without a text the whole record as JSON."""
@@ -36,6 +38,22 @@ def numeric_order(c: Column) -> list[Column]:
     return [number.isNull().asc(), number.asc(), F.coalesce(c, F.lit("")).asc()]
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with each row's place (from 1) in an order, found from the sizes of sorted partitions: no partition holds all rows."""
+    ranged = written(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_id", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    offsets = F.broadcast(sizes.select("_part", before.alias("_before")))
+    return ranged.join(offsets, part == F.col("_part")).withColumn(name, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).cast("int")).select(*df.columns, name)
+
+
+def sorted_by(df: DataFrame, column: str, again: str | None = None) -> DataFrame:
+    """df by a column, numbers as numbers; the order turns round when that column was the last one (again) too."""
+    keys = numeric_order(F.col(column).cast("string"))
+    return df.orderBy(*(keys if again != column else [F.col(column).cast("string").try_cast("double").isNull().desc(), F.col(column).cast("string").try_cast("double").desc(), F.coalesce(F.col(column).cast("string"), F.lit("")).desc()]))
+
+
 def is_numeric(values: list[str | None]) -> bool:
     """Whether a column whose first cells these are is sorted as numbers: of the first ten that aren't empty half are."""
     some = [v for v in values if v not in (None, "")][:10]

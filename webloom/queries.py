@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions.pages import host, is_internal_column, root_domain_column
 from .operators import politeness, records
-from .operators.crawl import crawl, edges, extract
-from .sources.site import HOST, site
-from .sources.tables import cache_key, fresh, read_pages
+from .operators.crawl import Hooks, as_text, crawl, edges, extract
+from .sources.site import HOST
+from .sources.site import site as site_of
+from .sources.tables import cache_key, fresh, read_pages, shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,7 +97,114 @@ def page_internal_links(spark: SparkSession, sf: str) -> DataFrame:
 
 _xpath("page_wx_links", "map{'in': count(wx:internal-links()), 'out': count(wx:external-links())}", f"""select url, '{{"in": ' || len({_HREFS}) || ', "out": 0}}' as value from pages""")
 _xpath("page_main_text", "wx:main-article-text()")
-_xpath("page_elements", "//h1")
+_H1 = "replace(replace(regexp_extract(html, '<h1>[^<]*</h1>', 0), '&copy;', '©'), '&middot;', '·')"
+_xpath("page_elements", "//h1", f"select url, {_H1} as value from pages")
+_xpath("page_elem", "//h1/wx:elem()", f"select url, {_H1} as value from pages")
+
+# ---------------------------------------------------------------- functions, a family a query
+
+_N = f"len({_HREFS})"
+_TITLE = _unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+_xpath(
+    "page_numbers",
+    "string-join((abs(count(//a) - 9), floor(count(//a) div 4), ceiling(count(//a) div 4), round(count(//a) div 4), count(//a) mod 3, count(//a) idiv 2, math:pow(2, count(//a)), math:sqrt(count(//a) * count(//a))) ! string(.), ' ')",
+    f"select url, concat_ws(' ', abs(n - 9), n // 4, ceil(n / 4.0)::int, floor(n / 4.0 + 0.5)::int, n % 3, n // 2, pow(2, n)::bigint, n) as value from (select url, {_N}::bigint as n from pages)",
+)
+_xpath("page_number_formats", "format-number(count(//a) * 1234.5, '#,##0.00')", f"select url, format('{{:,.2f}}', {_N} * 1234.5) as value from pages")
+_xpath("page_title_masked", "replace(string(//title), '[aeiou]', '_')", f"select url, regexp_replace({_TITLE}, '[aeiou]', '_', 'g') as value from pages")
+_xpath("page_title_tokens", "tokenize(string((//title)[1]), '\\s+')", f"select url, unnest(string_split_regex({_TITLE}, '\\s+')) as value from pages where regexp_matches(html, '<title>')")
+_xpath("page_title_matches", "matches(string(//title), '^[A-M]', 'i')", f"select url, regexp_matches({_TITLE}, '^[A-M]', 'i')::varchar as value from pages")
+_xpath("page_title_parts", "string-join(analyze-string(string(//h1), '[a-z]+')//*[local-name() = 'match']/string(.), '|')", f"select url, array_to_string(regexp_extract_all({_unescaped("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}, '[a-z]+'), '|') as value from pages")
+_xpath(
+    "page_dates",
+    "string-join((string(xs:date('2024-01-31') + xs:dayTimeDuration(concat('P', count(//a), 'D'))), string(year-from-date(xs:date('2023-12-28') + xs:dayTimeDuration(concat('P', count(//a), 'D')))), string(month-from-date(xs:date('2023-12-28') + xs:dayTimeDuration(concat('P', count(//a), 'D')))), format-date(xs:date('2024-02-20') + xs:dayTimeDuration(concat('P', count(//a), 'D')), '[D01]/[M01]/[Y0001]')), ' ')",
+    f"select url, concat_ws(' ', (date '2024-01-31' + n)::varchar, year(date '2023-12-28' + n), month(date '2023-12-28' + n), strftime(date '2024-02-20' + n, '%d/%m/%Y')) as value from (select url, {_N}::int as n from pages)",
+)
+_xpath(
+    "page_maps",
+    "let $m := map:merge(//a ! map{string(@href): 1}) return string-join((string(map:size($m)), string(map:contains($m, string((//a)[1]/@href))), string-join(sort(map:keys($m)), '|'), string(map:size(map:put($m, 'x', 2))), string(map:size(map:remove($m, string((//a)[1]/@href))))), ' ')",
+    f"select url, concat_ws(' ', len(d), 'true', array_to_string(list_sort(d), '|'), len(d) + 1, len(d) - 1) as value from (select url, list_distinct({_HREFS}) as d from pages)",
+)
+_xpath(
+    "page_arrays",
+    "let $a := array{//a/string(@href)} return string-join((string(array:size($a)), array:get($a, 1), array:reverse($a)?*, array:tail($a)?*, string(array:size(array:append($a, 'x'))), array:subarray($a, 2, 2)?*), ' ')",
+    "select url, concat_ws(' ', len(h), h[1], array_to_string(list_reverse(h), ' '), array_to_string(h[2:], ' '), len(h) + 1, array_to_string(h[2:3], ' ')) as value" + f" from (select url, {_HREFS} as h from pages)",
+)
+_xpath("page_array_values", "array{//a/string(@href)}", f"""select url, '[' || array_to_string(list_transform({_HREFS}, lambda x: '"' || x || '"'), ', ') || ']' as value from pages""")
+_xpath("page_json", """string-join((string(parse-json(concat('{"n": [1, ', count(//a), '], "s": "t"}'))?n?2), parse-json('{"n": 1, "s": "t"}')?s), ' ')""", f"select url, {_N} || ' t' as value from pages")
+_xpath(
+    "page_types",
+    "string-join((count(//a) instance of xs:integer, '12' castable as xs:integer, string((//a)[1]/@href) castable as xs:integer, xs:integer(string(count(//a))) + 1, (count(//a) treat as xs:integer) - 1, xs:boolean('true') and count(//a) = number('5')) ! string(.), ' ')",
+    f"select url, concat_ws(' ', 'true', 'true', 'false', n + 1, n - 1, (n = 5)::varchar) as value from (select url, {_N}::bigint as n from pages)",
+)
+_xpath("page_sets", "string-join((count(//a intersect //nav//a), count(//a except //nav//a), count((//h1, //title) intersect //h1)) ! string(.), ' ')", f"select url, {_N} || ' 0 1' as value from pages")
+
+
+@query("page_failures", f"select url, case when {_N} = 4 then null else 'fine' end as value, {_N} = 4 as failed from pages")
+def page_failures(spark: SparkSession, sf: str) -> DataFrame:
+    found = extract(read_pages(spark, sf), "if (count(//a) = 4) then error() else 'fine'", yield_errors=True)
+    return found.select("url", "value", F.col("error").isNotNull().alias("failed"))
+
+
+@query("page_previews", f"select url, substr(html, 1, 300) as preview, {_HREFS}[1:2] as first from pages")
+def page_previews(spark: SparkSession, sf: str) -> DataFrame:
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return read_pages(spark, sf).select("url", records.preview(F.col("html")).alias("preview"), records.first_items(links, 2).alias("first"))
+
+
+@query("ndjson_round_trip", f"select url as src, (k - 1)::bigint as pos, value as href from {_EACH}")
+def ndjson_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/ndjson-{uuid.uuid4().hex}"
+    records.write_ndjson(edges(read_pages(spark, sf)).select("src", "pos", "href"), at)
+    return spark.read.schema("src string, pos bigint, href string").json(at)
+
+
+@query("csv_round_trip", f"select url as src, (k - 1)::bigint as pos, value as href from {_EACH}")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    records.write_csv(edges(read_pages(spark, sf)).select("src", "pos", "href"), at)
+    return spark.read.schema("src string, pos bigint, href string").option("header", True).csv(at)
+
+
+class Louder(Hooks):
+    """Values in capitals; pages whose URL says https are dropped, and so are values that begin with a T."""
+
+    def post_fetch(self, page, html):
+        return None if page.url.startswith("https:") else html
+
+    def post_extract(self, value):
+        text = as_text(value)
+        return None if text.startswith("T") else text.upper()
+
+
+@query("hooked", f"select url, upper(h) as value from (select url, {_unescaped("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} as h from pages) where not starts_with(url, 'https:') and not starts_with(h, 'T')")
+def hooked(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_pages(spark, sf)
+    return crawl(spark, "url('http://none/')//h1/string()", pages, seeds=pages, hooks=[Louder()]).select("url", "value")
+
+
+@query("fetch_times", "select url, (page_id % 7) * 0.25::double as fetched, (page_id % 7) * 0.25::double as elapsed from pages")
+def fetch_times(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("page_id").cast("double")
+    pages = read_pages(spark, sf).withColumn("request_start", k).withColumn("response_end", k + (F.col("page_id") % 7) * 0.25)
+    return crawl(spark, "url('http://none/')/map{'fetched': wx:fetch-time(), 'elapsed': wx:elapsed()}", pages, seeds=pages, schema="fetched double, elapsed double").select("url", "value.*")
+
+
+@query("redirects_refused", "select url, case when page_id % 4 = 0 then 'bad_status' when page_id % 4 = 1 then 'unexpected_response' else 'ok' end as outcome from (select case when page_id % 4 = 1 then 'http://elsewhere/' || page_id else url end as url, page_id from pages)")
+def redirects_refused(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("page_id")
+    pages = read_pages(spark, sf).withColumn("status", F.when(k % 4 == 0, 301).otherwise(200)).withColumn("request_url", F.col("url"))
+    pages = pages.withColumn("url", F.when(k % 4 == 1, F.concat(F.lit("http://elsewhere/"), k.cast("string"))).otherwise(F.col("url")))
+    found = crawl(spark, "url('http://none/')/string(base-uri(.))", pages, seeds=pages.select(F.col("request_url").alias("url")), yield_errors=True, allow_redirects=False)
+    return found.select("url", F.coalesce("reason", F.lit("ok")).alias("outcome"))
+
+
+@query("retry_and_delay", "select event_id, case when user_id = 1 then 9.0::double when user_id % 2 = 0 then 2.0::double else 2.0::double end as pause, event_id % 6 = 0 and event_id % 4 < 2 as again, least(8.0::double, pow(2.0::double, event_id % 5)) as wait from events")
+def retry_and_delay(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    fixed, retry = politeness.FixedDelay(2.0, (("1", 9.0),)), politeness.Retry(2, (503,), 1.0, 8.0)
+    status = F.when(F.col("event_id") % 6 == 0, 503).otherwise(500)
+    return e.select("event_id", fixed.delay(F.col("user_id").cast("string"), F.col("value")).alias("pause"), retry.again(status, F.lit(False), F.col("event_id") % 4).alias("again"), retry.wait(F.col("event_id") % 5).alias("wait"))
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 _LABELS = f"string_split({_HOST}, '.')"
@@ -139,23 +248,24 @@ def seed_range_with_errors(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("depth", "url", "backlink", "value", "reason", "status")
 
 
-@query(
-    "status_filter",
-    f"""select url, case when k % 5 = 0 then 'bad_status' when k % 7 = 0 then 'bad_status' else 'ok' end as outcome
-    from (select url, page_id as k from pages) where {_HOST} = (select min({_HOST}) from pages)""",
-)
+@query("status_filter", "select url, case when page_id % 5 = 0 or page_id % 7 = 0 then 'bad_status' else 'ok' end as outcome from pages")
 def status_filter(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_pages(spark, sf)
     pages = pages.withColumn("status", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)).withColumn("html", F.when(F.col("page_id") % 7 == 0, "").otherwise(F.col("html")))
-    first = pages.agg(F.min(host(F.col("url")))).first()[0]
-    urls = ", ".join(f"'{r.url}'" for r in pages.where(host(F.col("url")) == first).select("url").collect())
-    found = crawl(spark, f"({urls}) ! url(.)/string(base-uri(.))", pages, yield_errors=True)
+    found = crawl(spark, "url('http://none/')/string(base-uri(.))", pages, seeds=pages, yield_errors=True)
     return found.select("url", F.coalesce("reason", F.lit("ok")).alias("outcome"))
 
 
 # ---------------------------------------------------------------- traversal of the site
 
 _AT = "'http://warehouse.test/"
+
+
+def site(spark: SparkSession, sf: str) -> DataFrame:
+    """The site as a table: a crawl reads it once a level."""
+    return written(site_of(spark, sf), "site")
+
+
 _LEVELS = f"""
 select 1 as depth, {_AT}region/' || r_regionkey as url, {_AT}' as backlink, r_name as value from region
 union all select 2, {_AT}nation/' || n_nationkey, {_AT}region/' || n_regionkey, n_name from nation
@@ -179,14 +289,35 @@ def site_hops(spark: SparkSession, sf: str) -> DataFrame:
     return crawl(spark, f"url('{HOST}/')//url(//a/@href)//url(//a[@class = 'down']/@href)//url(//a/@href[contains(., 'supplier')])//h1/string()", site(spark, sf), max_depth=3).select("depth", "url", "backlink", "value")
 
 
-@query("site_node_hops", "select n_name as value from nation where n_regionkey = 2")
+@query("site_node_hops", f"select {_AT}region/' || n_regionkey as backlink, n_name as value from nation")
 def site_node_hops(spark: SparkSession, sf: str) -> DataFrame:
-    return crawl(spark, f"url('{HOST}/region/2')//body/a[@class = 'down']/url(@href)//h1/string()", site(spark, sf)).select("value")
+    regions = spark.read.parquet(f"{sf}/region.parquet").select(F.concat(F.lit(f"{HOST}/region/"), F.col("r_regionkey").cast("string")).alias("url"))
+    return crawl(spark, f"url('{HOST}/')//body/a[@class = 'down']/url(@href)//h1/string()", site(spark, sf), seeds=regions).select("backlink", "value")
 
 
-@query("site_raw_links", "select '/customer/' || c_custkey as value from customer where c_nationkey = 3")
+@query("site_raw_links", f"select {_AT}nation/' || c_nationkey as url, '/customer/' || c_custkey as value from customer")
 def site_raw_links(spark: SparkSession, sf: str) -> DataFrame:
-    return crawl(spark, f"url('{HOST}/nation/3')//a[starts-with(@href, '/customer/')]/@href", site(spark, sf)).select("value")
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit(f"{HOST}/nation/"), F.col("n_nationkey").cast("string")).alias("url"))
+    return crawl(spark, f"url('{HOST}/')//a[starts-with(@href, '/customer/')]/@href", site(spark, sf), seeds=nations).select("url", "value")
+
+
+@query("site_hop_then_closure", f"select * from ({_LEVELS}) where depth between 2 and 3 and url not like '%/customer/%'")
+def site_hop_then_closure(spark: SparkSession, sf: str) -> DataFrame:
+    program = f"url('{HOST}/')//url(//a[starts-with(@href, '/region')]/@href)///url(//a[@class = 'down'][not(starts-with(@href, '/customer'))]/@href)//h1/string()"
+    return crawl(spark, program, site(spark, sf), max_depth=3).select("depth", "url", "backlink", "value")
+
+
+@query("site_limit", f"select 1 as depth, {_AT}region/' || r_regionkey as url, r_name as value from region union all select 2, {_AT}nation/' || n_nationkey, n_name from (select * from nation order by n_regionkey, n_nationkey limit 2)")
+def site_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """The first seven values in order: a limit is what is asked for. No level after the second is visited."""
+    return crawl(spark, f"url('{HOST}/')///url(//a[not(starts-with(@href, '/customer'))]/@href)//h1/string()", site(spark, sf), max_depth=9, limit=7).select("depth", "url", "value")
+
+
+@query("site_levels", f"select depth, count(*) as pages from ({_LEVELS}) group by depth")
+def site_levels(spark: SparkSession, sf: str) -> DataFrame:
+    told: list[dict] = []
+    crawl(spark, f"url('{HOST}/')///url(//a/@href)//h1/string()", site(spark, sf), max_depth=3, progress=told.append)
+    return spark.createDataFrame([(x["depth"], x["data"]) for x in told if x["data"]], "depth int, pages bigint")
 
 
 @query("site_pagination", f"select (c_custkey - 1)::int as depth, {_AT}customer/' || c_custkey as url, c_name as value from customer where c_custkey between 1 and 6")
@@ -236,8 +367,8 @@ def throttle_delays(spark: SparkSession, sf: str) -> DataFrame:
 )
 def latency_smoothed(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet").where("value is not null")
-    by = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))["value"].alias("v"))
-    return by.select("user_id", F.round(politeness.smoothed(F.col("v"), 0.7, 0.0), 6).alias("smoothed"), F.round(politeness.smoothed(F.col("v"), 0.7), 6).alias("seeded"))
+    by = lambda start, name: politeness.smoothed_by(e, "user_id", ["ts", "event_id"], "value", 0.7, start).select("user_id", F.round("smoothed", 6).alias(name))
+    return by(0.0, "smoothed").join(by(None, "seeded"), "user_id")
 
 
 _LOG = "(select url, case when page_id % 5 = 0 then 500 else 200 end as status, length(html)::bigint as bytes, (page_id % 17)::double as latency, page_id % 3 = 0 as cached, case when page_id % 11 = 0 then 'timeout' end as error from pages)"
@@ -271,10 +402,8 @@ def cache_fresh(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("numeric_sort", "select p_partkey, row_number() over (order by try_cast(k as double) is null, try_cast(k as double), k, p_partkey)::int as place from (select p_partkey, case when p_partkey % 3 = 0 then p_brand else p_size::varchar end as k from part)")
 def numeric_sort(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string")).alias("k"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy(*records.numeric_order(F.col("k")), "p_partkey")).alias("place"))
+    return records.numbered(p, "place", *records.numeric_order(F.col("k")), F.col("p_partkey")).select("p_partkey", "place")
 
 
 @query(

@@ -37,11 +37,18 @@ _DEFAULTS = {"status": "cast(200 as int)", "headers": "cast(null as map<string,s
 
 
 def corpus(pages: DataFrame) -> DataFrame:
-    """url, html, status, headers, error, request_start, response_end of pages that have at least url and html; several rows of a URL
-    count as the one whose html is least."""
+    """asked, url, html, status, headers, error, request_start, response_end of pages that have at least url and html. asked is the URL that
+    a row answers: request_url where pages has that column, else url. Of several rows that answer one URL the one whose html is least
+    counts (null last); only those are shuffled with their html."""
     have = {c.lower() for c in pages.columns}
-    df = pages.select("url", "html", *(F.col(c) if c in have else F.expr(e).alias(c) for c, e in _DEFAULTS.items()))
-    return df.where("url is not null")
+    asked = F.col("request_url" if "request_url" in have else "url").alias("asked")
+    df = pages.select(asked, "url", "html", *(F.col(c) if c in have else F.expr(e).alias(c) for c, e in _DEFAULTS.items())).where("asked is not null")
+    several = df.groupBy("asked").count().where("count > 1").select("asked")
+    if several.isEmpty():
+        return df
+    several = small(written(several, "several"))
+    one = df.join(several, "asked", "left_semi").groupBy("asked").agg(F.min_by(F.struct(*df.columns), F.struct(F.col("html").isNull(), "html", F.coalesce("url", F.lit("")))).alias("row"))
+    return df.join(several, "asked", "left_anti").unionByName(one.select("row.*"))
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +65,21 @@ def cache_key(url):
     return F.concat(F.regexp_replace(plain, r"[?&]$", ""), mark)
 
 
-def fresh(cache: DataFrame, now, days: int = 7, codes: tuple[int, ...] = (200, 203, 301, 302, 307, 308)) -> DataFrame:
-    """Rows of a cache (url, fetched_at, status, ...) that may still be served, the latest of each key."""
+def fresh(cache: DataFrame, now, days: int = 7, codes: tuple[int, ...] = (200, 203, 301, 302, 307, 308), methods: tuple[str, ...] = ("GET", "HEAD")) -> DataFrame:
+    """Rows of a cache (url, fetched_at, status, and maybe method, ...) that may still be served, the latest of each key."""
     ok = cache.where((F.col("fetched_at") > now - F.expr(f"interval {days} days")) & F.col("status").isin(*codes))
+    if "method" in cache.columns:
+        ok = ok.where(F.upper("method").isin(*methods))
     return ok.groupBy(cache_key(F.col("url")).alias("key")).agg(F.max_by(F.struct(*ok.columns), "fetched_at").alias("page")).select("key", "page.*")
+
+
+def store(fetched: DataFrame, place: str, now=None) -> None:
+    """Appends pages (url, html, status, ...) to a cache table, stamped with the time they were fetched at."""
+    (fetched if "fetched_at" in fetched.columns else fetched.withColumn("fetched_at", now if now is not None else F.current_timestamp())).write.mode("append").parquet(place)
+
+
+def through_cache(pages: DataFrame, cache: DataFrame, now, days: int = 7) -> DataFrame:
+    """pages (url, html), with the html of those that a cache holds fresh taken from there: a column cached tells which."""
+    held = fresh(cache, now, days).select(F.col("key").alias("_key"), F.col("html").alias("_held"))
+    both = pages.withColumn("_of", cache_key(F.col("url"))).join(held, F.col("_of") == F.col("_key"), "left")
+    return both.withColumn("cached", F.col("_held").isNotNull()).withColumn("html", F.coalesce("_held", "html")).drop("_of", "_key", "_held")
