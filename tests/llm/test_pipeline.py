@@ -7,6 +7,7 @@ import corpus_pipeline
 from webloom.llm import mixing, pii, toxicity
 
 from . import brute
+from .cases import LONG, awkward
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,6 +43,18 @@ def test_stages_take_awkward_tables(spark):
             assert got.count() <= 4 * table.count()
 
 
+def test_stages_take_long_texts_and_any_columns(spark):
+    table = awkward(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, table, DATA)
+        assert got.columns[: len(table.columns)] == table.columns, name
+        rows = got.collect()
+        assert name != "near_duplicates" or len(rows) == table.count() - 1  # one row is there twice
+        if name in ("decontamination", "private_data", "toxicity"):
+            assert len(rows) == table.count() and LONG in {r.text for r in rows}, name
+            assert len({tuple(r) for r in rows if r.doc_id == 1}) == 1, name
+
+
 def test_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}

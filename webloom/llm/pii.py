@@ -243,7 +243,7 @@ def _plain(r: random.Random) -> str:
     if r.random() < 0.92:
         form = r.random()
         if form < 0.6:
-            word = "".join(r.choices(_SYLLABLES, k=r.randrange(1, 6)))
+            word = "".join(r.choices(_SYLLABLES, k=r.randrange(1, 7)))
         elif form < 0.85:  # of any letters
             word = "".join(r.choice(_LOWER) + r.choice("aeiouy") + r.choice(["", "", r.choice(_LOWER)]) for _ in range(r.randrange(1, 5)))
         else:
@@ -252,10 +252,10 @@ def _plain(r: random.Random) -> str:
         word = word.capitalize() if style < 0.12 else word.upper() if style < 0.16 else word
         return word + r.choice(["", "", "", "", "", ",", ".", "!!", "###", "%%%", "$$$", " |", ":", ";"])
     word = lambda: "".join(r.choices(_SYLLABLES, k=r.randrange(1, 5)))
-    return r.choice([f"Version {pick(d, 1)}.{pick(d, 1)}.", f"version {pick(d, 1)}.", f"4.{pick(d, 1)}.", str(r.randrange(1900, 2100)), pick(d, r.randrange(1, 5)), f"{pick(d, 2)}:{pick(d, 2)}", f"{r.randrange(1, 32)}-{r.randrange(1, 13)}-{r.randrange(1990, 2030)}", f"BY-NC {pick(d, 1)}.0.", f"{pick(d, 1)},{pick(d, 3)}", f"${pick(d, 2)}.{pick(d, 2)}", "v" + pick(d, 1) + "." + pick(d, 1), "@", "= ", f"{word()}-{word()}", f"{word()}_{word()}", f"{word()}.{word()}", f"{pick(_LOWER, r.randrange(3, 9))}.{pick(_LOWER, r.randrange(2, 9))}", pick(_UPPER, r.randrange(3, 21)), f"{word()}/{word()}", f"{word()} = {word()}", f"{word()}: {word()}", f'"{word()}"', f"({word()} {word()})", r.choice(["password", "token", "secret", "key", "mail", "the token of", "a key to"]), word().upper() + word().upper()])
+    return r.choice([f"Version {pick(d, 1)}.{pick(d, 1)}.", f"version {pick(d, 1)}.", f"4.{pick(d, 1)}.", str(r.randrange(1900, 2100)), pick(d, r.randrange(1, 5)), f"{pick(d, 2)}:{pick(d, 2)}", f"{r.randrange(1, 32)}-{r.randrange(1, 13)}-{r.randrange(1990, 2030)}", f"BY-NC {pick(d, 1)}.0.", f"{pick(d, 1)},{pick(d, 3)}", f"${pick(d, 2)}.{pick(d, 2)}", "v" + pick(d, 1) + "." + pick(d, 1), "@", "= ", f"{word()}{pick(d, r.randrange(1, 4))}", f"{word()}{pick(d, r.randrange(1, 4))}", f"{word()}-{word()}", f"{word()}_{word()}", f"{word()}.{word()}", f"{pick(_LOWER, r.randrange(3, 9))}.{pick(_LOWER, r.randrange(2, 9))}", pick(_UPPER, r.randrange(3, 21)), f"{word()}/{word()}", f"{word()} = {word()}", f"{word()}: {word()}", f'"{word()}"', f"({word()} {word()})", r.choice(["password", "token", "secret", "key", "mail", "the token of", "a key to"]), word().upper() + word().upper()])
 
 
-_SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ción mente ñ ado os as ez qu ía ó eau eux ment tion é è ê ç oi ai ou ch sch ung keit heit ü ö ä ß lich ein ver be ge pf tz ie zu".split()
+_SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ción mente ñ ado os as ez qu ía ó eau eux ment tion é è ê ç oi ai ou ch sch ung keit heit ü ö ä ß lich ein ver be ge pf tz ie zu ing ly ble able wh ful ness eaux ville pre con".split()
 
 
 def labelled(r: random.Random, size: int) -> tuple[str, list[tuple[int, int, int]]]:
