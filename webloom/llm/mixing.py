@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, written
+from .shared import free_name, small, written
 
 WORD = "[^ \\t\\n\\r\\f]+"
 #: Weights of the query: sources share alike, but src0, a bulk crawl, counts as four.
 WEIGHTS = {"src0": 4.0}
 SEED = 17
-#: Sources up to which rates are collected and broadcast; beyond, documents and rates join by shuffle.
+#: Sources up to which rates are broadcast; beyond, documents and rates join by shuffle.
 MOST_SOURCES = 100_000
 
 
@@ -38,20 +38,19 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, default: flo
     for name, w in (weights or {}).items():
         weight = F.when(F.col("mix_source") == name, F.lit(float(w))).otherwise(weight)
     per = per.withColumn("mix_weight", F.when(F.col("mix_tokens") > 0, weight).otherwise(F.lit(0.0)))
-    found = per.limit(MOST_SOURCES + 1).collect()
-    few = len(found) <= MOST_SOURCES
-    per = docs.sparkSession.createDataFrame(found, per.schema) if few else written(per, "rates")  # the texts are read once
-    total = per.agg(F.sum("mix_tokens").alias("all_tokens"), F.sum("mix_weight").alias("all_weights"))
-    rate = F.when((F.col("mix_tokens") > 0) & (F.col("all_weights") > 0), F.col("mix_weight") / F.col("all_weights") * F.col("all_tokens") * F.lit(float(factor)) / F.col("mix_tokens")).otherwise(F.lit(0.0))
-    per = per.crossJoin(F.broadcast(total)).select("mix_source", "mix_tokens", rate.alias("mix_rate"))  # total is one row
-    return F.broadcast(per) if few else per
+    per = written(per, "rates")  # the texts are read once
+    total = per.agg(F.sum("mix_tokens").alias("tokens"), F.sum("mix_weight").alias("weights")).first()  # two numbers
+    rate = F.col("mix_weight") / F.lit(total["weights"]) * F.lit(total["tokens"]) * F.lit(float(factor)) / F.col("mix_tokens")
+    sure = F.when((F.col("mix_tokens") > 0) & F.lit(bool(total["tokens"] and total["weights"] and total["weights"] > 0)), rate).otherwise(F.lit(0.0))
+    return small(per.select("mix_source", "mix_tokens", sure.alias("mix_rate")), MOST_SOURCES)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, factor: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """All columns of docs and copy_no (1 to the copies; with underscores after it where docs has that name).
 
-    A null text counts no tokens, yet is emitted at its source's rate; rows of one id are drawn alike; null ids are drawn as
-    one id; a negative or zero weight emits nothing. An empty table stays empty.
+    A null text counts no tokens, yet is emitted at its source's rate, as is an empty one; long texts are counted to their end. Rows of
+    one id are drawn alike; null ids are drawn as one id; a draw that equals the fraction gives no copy. A negative or zero weight emits
+    nothing. An empty table stays empty.
     """
     per = rates(docs, weights, default, factor, source_col, text_col)
     key, rate, copies = (free_name(docs, x) for x in ("mix_source", "mix_rate", "copy_no"))
