@@ -327,7 +327,8 @@ def test_keys_survive_packing(parts):
     hi, lo = np.random.default_rng(parts).integers(-(1 << 63), 1 << 63, (2, 200))
     got = set()
     for _, blob in near_dedup.key_blobs(hi, lo, parts):
-        got |= set(zip(*(x.tolist() for x in near_dedup.unpacked(blob))))
+        fp, row, keys = near_dedup.unpacked(blob)
+        got |= set(zip(*fp[row].T.tolist(), keys.tolist()))
     want = {(h, x, k) for h, x, ks in zip(hi.tolist(), lo.tolist(), near_dedup.key_matrix(hi, lo).tolist()) for k in ks if k >= 0}
     assert got == want
 

@@ -125,12 +125,13 @@ def key_blobs(hi: np.ndarray, lo: np.ndarray, parts: int) -> list[tuple[int, byt
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints (n, 2), and of each of their keys the row and the key."""
     n, m = np.frombuffer(blob, np.int64, 2).tolist()
     take = lambda kind, at, count: np.frombuffer(blob, kind, count, at)
     hi, lo, groups = take(np.int64, 16, n), take(np.int64, 16 + 8 * n, n), take(np.uint8, 16 + 16 * n, n)
     group, per, second = take(np.uint16, 16 + 17 * n, m), take(np.uint8, 16 + 17 * n + 2 * m, m), take(np.uint16, 16 + 17 * n + 3 * m, -1)
     row = np.repeat(np.repeat(np.arange(n), groups), per)
-    return hi[row], lo[row], (np.repeat(group.astype(np.int32), per) << 12) | second
+    return np.stack((hi, lo), axis=1), row, (np.repeat(group.astype(np.int32), per) << 12) | second
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,23 +139,24 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a.view(U64) ^ b.view(U64)).sum(axis=-1, dtype=np.int16)
 
 
-def links(fp: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
-    """Verified links (pairs of rows of fp) that connect whatever is within `most` bits and shares a key, each once."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+def links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
+    """Verified links (pairs of rows of fp, which are in order and unlike) that connect whatever is within `most` bits and shares a key.
+    rows and keys: those that have each other."""
+    both = np.sort((keys.astype(np.int64) << 32) | rows)
+    order, keys = both & 0xFFFFFFFF, both >> 32
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.append(at, len(keys)))
-    found = [np.zeros((0, 2), np.int64)]
+    found = [np.zeros(0, np.int64)]
     wide = size > WIDE_RUN
-    narrow = np.repeat(~wide, size)
-    left = np.repeat(at + size, size) - np.arange(len(keys))  # rows to the end of the run
+    left = np.repeat(np.where(wide, 0, at + size), size) - np.arange(len(keys))  # rows to the end of a run that isn't wide
+    i = np.flatnonzero(left > 1)
     for d in range(1, WIDE_RUN):
-        i = np.flatnonzero(narrow & (left > d))
+        i = i[left[i] > d]
         if not len(i):
             break
         a, b = order[i], order[i + d]
         ok = distance(fp[a], fp[b]) <= most
-        found.append(np.stack((a[ok], b[ok]), axis=1))
+        found.append((a[ok] << 32) | b[ok])
     for s, n in zip(at[wide], size[wide]):
         rest = order[s : s + n]
         while len(rest):
@@ -163,10 +165,11 @@ def links(fp: np.ndarray, keys: np.ndarray, most: int) -> np.ndarray:
                 a = todo.pop()
                 near = distance(fp[a], fp[rest]) <= most
                 new = rest[near]
-                found.append(np.stack((np.full(len(new), a), new), axis=1))
+                found.append((np.full(len(new), a) << 32) | new)
                 todo.extend(new.tolist())
                 rest = rest[~near]
-    return np.concatenate(found)
+    pairs = np.unique(np.concatenate(found))
+    return np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1)
 
 
 def links_table(distinct: DataFrame, most: int, parts: int) -> DataFrame:
@@ -179,12 +182,15 @@ def links_table(distinct: DataFrame, most: int, parts: int) -> DataFrame:
         got = [unpacked(x.as_buffer().to_pybytes()) for b in batches for x in b.column(1)]
         if not got:
             return
-        fp = np.stack((np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])), axis=1)
-        keys = np.concatenate([g[2] for g in got])
-        order = np.lexsort((fp[:, 1], fp[:, 0]))  # the least fingerprint of a run is what others link to
-        fp, keys = fp[order], keys[order]
-        pairs = links(fp, keys, most)
-        rows = np.unique(np.concatenate((fp[pairs[:, 0]], fp[pairs[:, 1]]), axis=1), axis=0)
+        before = np.cumsum([0] + [len(g[0]) for g in got])
+        every = np.concatenate([g[0] for g in got])
+        order = np.lexsort((every[:, 1], every[:, 0]))  # the least fingerprint of a run is what others link to
+        new = np.concatenate(([True], (every[order][1:] != every[order][:-1]).any(axis=1)))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        fp = every[order[new]]
+        pairs = links(fp, place[np.concatenate([g[1] + k for g, k in zip(got, before)])], np.concatenate([g[2] for g in got]), most)
+        rows = np.concatenate((fp[pairs[:, 0]], fp[pairs[:, 1]]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a_hi", "a_lo", "b_hi", "b_lo"])
         released()
 
