@@ -108,6 +108,29 @@ def test_equal_cells_are_made_one(spark):
         assert got(suffix_dedup.repeats(docs, 20, within=True)) == brute_within(rows, 20)
 
 
+@pytest.mark.parametrize("seed,vocabulary,length", [(1, 5000, 12), (2, 3, 16), (3, 40, 50), (5, 2, 20), (6, 300, 9)])
+def test_hot_minimizers_are_parted(spark, monkeypatch, seed, vocabulary, length):
+    rows = corpus(seed, vocabulary)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(suffix_dedup, "HOT_CELLS", 0)
+    assert got(suffix_dedup.repeats(docs, length)) == brute(rows, length)
+    assert got(suffix_dedup.repeats(docs, length, within=True)) == brute_within(rows, length)
+
+
+def test_a_common_line_meets_in_many_groups():
+    """Cells around one line in unlike surroundings have unlike keys once it is hot."""
+    every = lambda key: np.ones(len(key), bool)
+    most = {True: [], False: []}
+    for v in range(40):  # some of the lines are minimizers
+        line = " ".join(f"line{v}x{k}" for k in range(10))
+        texts = pa.array([" ".join([*(f"a{i}x{k}" for k in range(60)), line, *(f"b{i}x{k}" for k in range(60))]) for i in range(20)])
+        for hot in (True, False):
+            told = every if hot else lambda key: ~every(key)
+            blobs = [suffix_dedup._unpacked(b.as_py()) for batch in suffix_dedup.cell_blobs(np.arange(20), texts, every, told, 50, 1, True) for b in batch.column(1)]
+            most[hot].append(np.unique(np.concatenate([b[0] for b in blobs]), return_counts=True)[1].max())
+    assert max(most[False]) >= 15 and set(most[True]) == {1}
+
+
 def test_ids_of_other_types(spark):
     rows = corpus(3, 300)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")

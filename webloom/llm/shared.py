@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir. Only where that is unset (a single machine, as in tests) one is made."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it names the folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -135,8 +137,8 @@ def _npy(array: np.ndarray) -> bytes:
 
 
 def mapped(place: str, name: str) -> np.ndarray | None:
-    """The array of that name, mapped into memory; None if there is none (yet). Other than a file system's, it is copied once to a file of
-    this worker."""
+    """The array of that name, mapped into memory; None if there is none (yet). Where the shared folder isn't a file system (a mount), an array
+    can't be mapped and is read whole, so that a mount is needed where arrays are larger than a worker's memory."""
     try:
         return _opened(place, name)
     except FileNotFoundError:
@@ -149,11 +151,8 @@ def _opened(place: str, name: str) -> np.ndarray:
     if at is not None:
         return np.load(f"{at}/{name}.npy", mmap_mode="r")
     system, path = fs.FileSystem.from_uri(place)
-    with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(f"{path}/{name}.npy") as f:
-        while data := f.read(1 << 24):
-            copy.write(data)
-        copy.flush()
-        return np.load(copy.name, mmap_mode="r")  # the mapping outlives the file's name
+    with system.open_input_stream(f"{path}/{name}.npy") as f:
+        return np.load(io.BytesIO(f.read()))
 
 
 def packed(*arrays: np.ndarray) -> bytes:

@@ -17,6 +17,7 @@ by suffix.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ ANCHOR, TRIGGER, TRIGGER_EVERY = 10, 4, 8
 GROUP_WORDS = 1 << 20
 #: Bytes of texts of which equal cells are made one before they travel.
 CELL_STEP = 16 << 20
+#: Cells of one minimizer beyond which they are parted by what stands around it.
+HOT_CELLS = 10_000
 _PLACE_BITS = 30
 
 
@@ -55,11 +58,11 @@ def window_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - wide)], x[n - wide :]) if n > wide else x
 
 
-def cells(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first word, number of passages and minimizer of each cell. Words are counted over the whole chunk."""
+def cells(w: Words, length: int) -> tuple[np.ndarray, ...]:
+    """Document, first word, number of passages, minimizer and its first word of each cell. Words are counted over the whole chunk."""
     none = np.zeros(0, np.int64)
     if len(w.hashes) < length:
-        return none, none, none, none.view(U64)
+        return none, none, none, none.view(U64), none
     anchor = min(ANCHOR, length)
     h = run_hashes(w.hashes, anchor)
     mask = (1 << _PLACE_BITS) - 1
@@ -71,12 +74,12 @@ def cells(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     ok = start + length <= w.first[doc + 1]
     start, doc, best = start[ok], doc[ok], best[ok]
     if not len(start):
-        return none, none, none, none.view(U64)
+        return none, none, none, none.view(U64), none
     place = start + ((mask - (best & U64(mask)).astype(np.int64) - start) & mask)
     new = np.ones(len(start), bool)
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    return doc[at], start[at], np.diff(np.append(at, len(start))), h[place[at]]
+    return doc[at], start[at], np.diff(np.append(at, len(start))), h[place[at]], place[at]
 
 
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -96,7 +99,7 @@ def shared_keys(docs: DataFrame, length: int, parts: int, within: bool = False)
     def spread(batches: Batches) -> Batches:
         def step(b: pa.RecordBatch):
             ids = b.column(0).to_numpy()
-            held = [(key, ids[row + doc]) for row, w in word_chunks(b.column(1)) for doc, _, _, key in [cells(w, length)] if len(doc)]
+            held = [(key, ids[row + doc]) for row, w in word_chunks(b.column(1)) for doc, _, _, key, _ in [cells(w, length)] if len(doc)]
             if held:
                 key, doc = (np.concatenate(x) for x in zip(*held))
                 order = np.lexsort((doc, key))
@@ -104,8 +107,9 @@ def shared_keys(docs: DataFrame, length: int, parts: int, within: bool = False)
                 at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 last = np.append(at[1:], len(key)) - 1
                 more = last > at if within else doc[last] != doc[at]
+                count = np.concatenate((last - at + 1, np.zeros(more.sum(), np.int64)))
                 key, doc = np.concatenate((key[at], key[at[more]])), np.concatenate((doc[at], doc[last[more]]))
-                yield blob_rows([(p, np.stack((key[k], doc[k].view(U64))).tobytes()) for p, k in _by_part(key, parts)])
+                yield blob_rows([(p, np.stack((key[k], doc[k].view(U64), count[k].view(U64))).tobytes()) for p, k in _by_part(key, parts)])
 
         return rows_of(batches, step)
 
@@ -113,14 +117,16 @@ def shared_keys(docs: DataFrame, length: int, parts: int, within: bool = False)
         each: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for p, x in zip(b.column(0).to_pylist(), b.column(1)):
-                each.setdefault(p, []).append(np.frombuffer(x.as_buffer().to_pybytes(), U64).reshape(2, -1))
+                each.setdefault(p, []).append(np.frombuffer(x.as_buffer().to_pybytes(), U64).reshape(3, -1))
         for p, got in each.items():
-            key, doc = np.concatenate(got, axis=1)
+            key, doc, count = np.concatenate(got, axis=1)
             order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
+            key, doc, count = key[order], doc[order], count[order]
             at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             last = np.append(at[1:], len(key)) - 1
-            save(place, f"keys-{p}", key[at[last > at if within else doc[at] != doc[last]]])
+            several = last > at if within else doc[at] != doc[last]
+            save(place, f"keys-{p}", key[at[several]])
+            save(place, f"hot-{p}", key[at[several & (np.add.reduceat(count, at) > U64(HOT_CELLS))]])
             yield blob_rows([(p, b"")])
         released()
 
@@ -128,17 +134,37 @@ def shared_keys(docs: DataFrame, length: int, parts: int, within: bool = False)
     return place
 
 
-def is_shared(place: str, key: np.ndarray, parts: int) -> np.ndarray:
-    """Which minimizers are in the files of shared_keys(), which are mapped into memory."""
+def is_in(place: str, name: str, key: np.ndarray, parts: int) -> np.ndarray:
+    """Which minimizers are in the files of that name of shared_keys(), which are mapped into memory."""
     out = np.zeros(len(key), bool)
     for p, at in _by_part(key, parts):
-        have = mapped(place, f"keys-{p}")
+        have = mapped(place, f"{name}-{p}")
         if have is not None and len(have):
             out[at] = have[np.minimum(np.searchsorted(have, key[at]), len(have) - 1)] == key[at]
     return out
 
 
-def cell_blobs(ids: np.ndarray, texts: pa.Array, wanted, length: int, parts: int, within: bool) -> Iterator[pa.RecordBatch]:
+def _between(sums: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64((sums[b] - sums[a]) * down[a])
+
+
+def parted(start: np.ndarray, count: np.ndarray, key: np.ndarray, place: np.ndarray, hot: np.ndarray, length: int, between) -> tuple[np.ndarray, ...]:
+    """Of each cell that comes of it: which one it was, first word, number of passages and key. Hot cells fall into two: passages with some
+    words before the minimizer, which all of them have and by which they are told, and others, which have some words after it."""
+    anchor = min(ANCHOR, length)
+    before = (length - anchor) // 2
+    edge = np.clip(place - before + 1 - start, 0, count)  # passages that begin before it have those words before
+    left, right = np.flatnonzero(hot & (edge > 0)), np.flatnonzero(hot & (edge < count))
+    cool = np.flatnonzero(~hot)
+    of_left = mix64(key[left] ^ between(place[left] - before, place[left]))
+    of_right = mix64(~key[right] ^ between(place[right] + anchor, place[right] + length - before))
+    which = np.concatenate((cool, left, right))
+    first, size = np.concatenate((start[cool], start[left], (start + edge)[right])), np.concatenate((count[cool], edge[left], (count - edge)[right]))
+    order = np.lexsort((first, which))
+    return which[order], first[order], size[order], np.concatenate((key[cool], of_left, of_right))[order]
+
+
+def cell_blobs(ids: np.ndarray, texts: pa.Array, wanted, hot, length: int, parts: int, within: bool) -> Iterator[pa.RecordBatch]:
     """Cells whose minimizer is wanted, packed for their partitions: number of cells; of each its minimizer, document, first word and passages; words.
 
     Of cells with equal words only those of the least document (within: the one at the least place) travel. Of the others it is
@@ -146,13 +172,16 @@ def cell_blobs(ids: np.ndarray, texts: pa.Array, wanted, length: int, parts: int
     """
     held = []
     for row, w in word_chunks(texts):
-        doc, start, count, key = cells(w, length)
+        doc, start, count, key, place = cells(w, length)
         ok = wanted(key) if len(doc) else np.zeros(0, bool)
         if ok.any():
-            doc, start, count, key = doc[ok], start[ok], count[ok], key[ok]
+            doc, start, count, key, place = doc[ok], start[ok], count[ok], key[ok], place[ok]
             up, down = powers(len(w.hashes) + 1)
             sums = np.concatenate((np.zeros(1, U64), np.cumsum((w.hashes + U64(1)) * up[: len(w.hashes)], dtype=U64)))
-            content = mix64((sums[start + count + length - 1] - sums[start]) * down[start]) ^ mix64(count.astype(U64))
+            between = partial(_between, sums, down)
+            which, start, count, key = parted(start, count, key, place, hot(key), length, between)
+            doc = doc[which]
+            content = between(start, start + count + length - 1) ^ mix64(count.astype(U64))
             held.append((w, ids[row + doc], start, start - w.first[doc], count, key, content))
     if not held:
         return
@@ -358,7 +387,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     place = shared_keys(base, length, parts, within)
 
     def spread(batches: Batches) -> Batches:
-        return rows_of(batches, lambda b: cell_blobs(b.column(0).to_numpy(), b.column(1), lambda key: is_shared(place, key, parts), length, parts, within), CELL_STEP)
+        return rows_of(batches, lambda b: cell_blobs(b.column(0).to_numpy(), b.column(1), lambda key: is_in(place, "keys", key, parts), lambda key: is_in(place, "hot", key, parts), length, parts, within), CELL_STEP)
 
     blobs = base.mapInArrow(spread, BLOBS)
 
