@@ -322,6 +322,23 @@ def test_distance_counts_every_bit():
     assert near_dedup.distance(a, b).tolist() == want == [64, 4, 126]
 
 
+def test_forest():
+    r = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 20), (300, 290), (300, 2000)):
+        pairs = r.integers(0, n, (m, 2))
+        root = list(range(n))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs.tolist():
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        assert near_dedup.forest(pairs, n).tolist() == [top(i) for i in range(n)]
+
+
 @pytest.mark.parametrize("parts", [1, 7, 9000])
 def test_keys_survive_packing(parts):
     hi, lo = np.random.default_rng(parts).integers(-(1 << 63), 1 << 63, (2, 200))

@@ -172,8 +172,22 @@ def links(fp: np.ndarray, rows: np.ndarray, keys: np.ndarray, most: int) -> np.n
     return np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1)
 
 
+def forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """The least of what each of n nodes is connected with by pairs."""
+    root = np.arange(n)
+    while True:
+        a, b = root[pairs[:, 0]], root[pairs[:, 1]]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
 def links_table(distinct: DataFrame, most: int, parts: int) -> DataFrame:
-    """a_hi, a_lo, b_hi, b_lo: links between distinct fingerprints (hi, lo)."""
+    """a_hi, a_lo, b_hi, b_lo: distinct fingerprints (hi, lo) with the least one that links of their partition lead to: as many rows as have
+    one, however many links there are, and together they connect what the links do."""
 
     def spread(batches: Batches) -> Batches:
         return rows_of(batches, lambda b: iter([blob_rows(key_blobs(b.column(0).to_numpy(), b.column(1).to_numpy(), parts))]), KEY_STEP)
@@ -190,7 +204,9 @@ def links_table(distinct: DataFrame, most: int, parts: int) -> DataFrame:
         place[order] = np.cumsum(new) - 1
         fp = every[order[new]]
         pairs = links(fp, place[np.concatenate([g[1] + k for g, k in zip(got, before)])], np.concatenate([g[2] for g in got]), most)
-        rows = np.concatenate((fp[pairs[:, 0]], fp[pairs[:, 1]]), axis=1)
+        root = forest(pairs, len(fp))
+        node = np.flatnonzero(root != np.arange(len(fp)))
+        rows = np.concatenate((fp[root[node]], fp[node]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["a_hi", "a_lo", "b_hi", "b_lo"])
         released()
 
