@@ -166,21 +166,21 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("src string, pos bigint, href string").option("header", True).csv(at)
 
 
-class Louder(Hooks):
-    """Values in capitals; pages whose URL says https are dropped, and so are values that begin with a T."""
+class Marked(Hooks):
+    """Values in brackets; pages whose URL says https are dropped, and so are values that begin with a T."""
 
     def post_fetch(self, page, html):
         return None if page.url.startswith("https:") else html
 
     def post_extract(self, value):
         text = as_text(value)
-        return None if text.startswith("T") else text.upper()
+        return None if text.startswith("T") else f"[{text}]"
 
 
-@query("hooked", f"select url, upper(h) as value from (select url, {_unescaped("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} as h from pages) where not starts_with(url, 'https:') and not starts_with(h, 'T')")
+@query("hooked", f"select url, '[' || h || ']' as value from (select url, {_unescaped("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} as h from pages) where not starts_with(url, 'https:') and not starts_with(h, 'T')")
 def hooked(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_pages(spark, sf)
-    return crawl(spark, "url('http://none/')//h1/string()", pages, seeds=pages, hooks=[Louder()]).select("url", "value")
+    return crawl(spark, "url('http://none/')//h1/string()", pages, seeds=pages, hooks=[Marked()]).select("url", "value")
 
 
 @query("fetch_times", "select url, (page_id % 7) * 0.25::double as fetched, (page_id % 7) * 0.25::double as elapsed from pages")
