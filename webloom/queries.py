@@ -395,9 +395,9 @@ def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query("cache_fresh", "select user_id, max(ts) as fetched_at from events where ts > (select max(ts) from events) - interval 7 days and event_id % 4 <> 1 group by user_id")
 def cache_fresh(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
-    last = e.agg(F.max("ts").alias("t"))
-    cache = e.select(F.concat(F.lit("http://h/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").alias("fetched_at"), F.when(F.col("event_id") % 4 == 1, 404).otherwise(200).alias("status"), "user_id").crossJoin(F.broadcast(last))
-    return fresh(cache, F.col("t")).select("user_id", "fetched_at")
+    last = F.lit(e.agg(F.max("ts")).first()[0])
+    cache = e.select(F.concat(F.lit("http://h/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").alias("fetched_at"), F.when(F.col("event_id") % 4 == 1, 404).otherwise(200).alias("status"), "user_id")
+    return fresh(cache, last).select("user_id", "fetched_at")
 
 
 @query("numeric_sort", "select p_partkey, row_number() over (order by try_cast(k as double) is null, try_cast(k as double), k, p_partkey)::int as place from (select p_partkey, case when p_partkey % 3 = 0 then p_brand else p_size::varchar end as k from part)")
