@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from webloom import queries as engine
+from webloom.functions.html_tree import parse_html
 
 PAGES = [
     (0, "http://h.example.org/a", "<html><head><title>A &amp; b</title></head><body><h1>A &amp; b</h1><nav><a href=\"/one\">1</a><a href=\"/two\">2</a></nav></body></html>"),
@@ -38,3 +39,15 @@ def same_as_sql(spark, folder, name):
 @pytest.mark.parametrize("name", ["fetch_times", "redirects_refused", "status_filter", "page_link_lengths", "page_link_some", "page_link_sorted", "page_links_distinct"])
 def test_rows_of_one_url(spark, folder, name):
     same_as_sql(spark, folder, name)
+
+
+@pytest.mark.parametrize("name", ["loader_documents", "page_headings", "page_title_masked", "page_title_parts", "page_title_tokens", "page_titles"])
+def test_references_that_are_cut(spark, folder, name):
+    same_as_sql(spark, folder, name)
+
+
+def test_what_is_a_reference():
+    text = lambda html: parse_html(html).text()
+    assert text("<p>&amp &am &a &copy= &notit; &amp;amp &quot;&lt;&#38;&#x41;") == "&amp &am &a &copy= &notit; &amp \"<&A"
+    assert parse_html("<a href='/x?a=1&copy=2&amp;b=&amp'>").named("a")[0].get("href") == "/x?a=1&copy=2&b=&amp"
+    assert text("<script>a&b && c&amp</script><p>﷐&am") == "a&b && c&amp﷐&am"
