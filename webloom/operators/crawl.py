@@ -11,6 +11,7 @@ like the queue of a single crawler, so the first to claim a URL is the same on a
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import urljoin
@@ -24,8 +25,9 @@ from ..functions.html_tree import Node, parse_html
 from ..functions.xpath import Page, XArray, XMap, compiled, evaluate, text_of
 from ..functions.xpath_functions import plain
 from ..plans.language import Closure, Extract, Hop, Program, Seed, parse
+from ..sources import tables
 from ..sources.tables import corpus as corpus_of
-from ..sources.tables import small, written
+from ..sources.tables import written
 
 REDIRECTS = (301, 302, 303, 307, 308)
 
@@ -82,7 +84,7 @@ def as_text(x: object) -> str | None:
     return None if x is None else text_of(x)
 
 
-@dataclass
+@dataclass(slots=True)
 class _Row:
     kind: str
     value: str | None = None
@@ -91,14 +93,22 @@ class _Row:
     expand: int = -1
 
 
+#: A URL and a path of it that urljoin() would only put together.
+_SITE = re.compile(r"(https?://[A-Za-z0-9.-]+(?::[0-9]+)?)(?:[/?#]|$)").match
+_PATH = re.compile(r"(?:/[A-Za-z0-9_-]+)+").fullmatch
+
+
 def _links(scope: str | None, links: str, item: Node, page: Page, memo: dict) -> Iterator[str]:
     """Absolute URLs that an operator selects, each once, in order. Empty ones are left out."""
-    seen = set()
+    seen, site = set(), _SITE(page.url)
     for at in evaluate(scope, item, page, memo=memo) if scope else [item]:
         for x in evaluate(links, at, page, memo=memo) if links != "." else [at]:
             href = text_of(x)
             if href and href not in seen:
                 seen.add(href)
+                if site and _PATH(href):
+                    yield site[1] + href
+                    continue
                 try:
                     yield urljoin(page.url, href)
                 except ValueError:  # a link that can't be resolved leads nowhere
@@ -128,13 +138,16 @@ def run_page(program: Program, pc: int, expand: int, page: Page, document: Node,
 
 
 _OUT = "kind string, url string, depth int, backlink string, path array<int>, value string, link string, pc int, expand int, reason string, status int, exception string"
-_IN = ["url", "html", "depth", "backlink", "path", "pc", "expand", "status", "latency"]
+_IN = ["url", "html", "depth", "backlink", "path", "pc", "expand", "status", "latency", "reason", "exception"]
 
 
 def _page_function(program: Program, hooks: Sequence[Hooks], max_depth: int) -> Callable:
     needs_tree = program.needs_tree() or bool(hooks)
 
     def rows(r: dict) -> Iterator[tuple]:
+        if r["reason"] is not None:  # the page couldn't be had
+            yield ("error", r["url"], r["depth"], r["backlink"], r["path"], None, None, 0, -1, r["reason"], r["status"] or 0, r["exception"])
+            return
         page = Page(r["url"], r["depth"], r["backlink"], r["status"], r["latency"])
         base = (page.url, page.depth, page.backlink)
         html = r["html"]
@@ -174,11 +187,14 @@ def _in_arrow(rows: Callable, schema: StructType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: list[tuple] = []
-            for r in b.to_pylist():
-                held += rows(r)
-                if len(held) >= 10_000:
-                    yield _batch(held, arrow)
-                    held = []
+            # one page's text at a time: a few may be as large as all others
+            for r, html in zip(b.drop_columns("html").to_pylist(), b.column("html")):
+                r["html"] = html.as_py()
+                for x in rows(r):
+                    held.append(x)
+                    if len(held) >= 10_000:
+                        yield _batch(held, arrow)
+                        held = []
             if held:
                 yield _batch(held, arrow)
 
@@ -282,25 +298,25 @@ def crawl_levels(spark, expression, pages, max_depth=1, hooks=(), allowed_codes=
     frontier = written(frontier, "frontier")
     visited = frontier.select("url") if seen is None else frontier.select("url").unionByName(seen.select("url"))
     for depth in range(most + 1):
-        # the frontier goes to the corpus; which of its URLs have no page is told by URLs alone, so that no page is shuffled or broadcast
+        # a small frontier goes to the corpus; which of its URLs have no page is told by URLs alone, so that no page is shuffled or broadcast
         if callable(pages):
             web = corpus_of(written(pages(frontier.select("url")), "fetched"))
-        asked = small(frontier.withColumnRenamed("url", "asked"))
-        there = web.select("asked").join(asked.select("asked"), "asked", "left_semi").distinct()
-        found = web.join(asked, "asked").unionByName(asked.join(there, "asked", "left_anti").withColumn("url", F.col("asked")), allowMissingColumns=True)
+        asked = frontier.withColumnRenamed("url", "asked")
+        if asked.count() <= tables.BROADCAST_ROWS:
+            asked = F.broadcast(asked)
+            there = web.select("asked").join(asked.select("asked"), "asked", "left_semi").distinct()
+            found = web.join(asked, "asked").unionByName(asked.join(there, "asked", "left_anti").withColumn("url", F.col("asked")), allowMissingColumns=True)
+        else:  # pages and frontier meet by URL, once
+            found = asked.join(web.withColumn("there", F.lit(True)), "asked", "left").withColumn("url", F.when(F.col("there"), F.col("url")).otherwise(F.col("asked"))).drop("there")
         if robots is not None:
             from .politeness import with_permission
 
             found = with_permission(found, robots, user_agent).withColumn("error", F.when(F.col("allowed"), F.col("error")).otherwise("robots.txt")).withColumn("status", F.when(F.col("allowed"), F.col("status")).otherwise(403)).drop("allowed")
         missing, empty = F.col("status").isNull(), F.coalesce(F.length("html"), F.lit(0)) == 0
         reason = F.when(F.col("url") != F.col("asked"), "unexpected_response").when(missing | F.col("error").isNotNull(), "network_error").when(~F.col("status").isin(*codes) | empty, "bad_status")
-        found = found.withColumn("reason", reason).withColumn("latency", F.col("response_end") - F.col("request_start"))
-        good = found.where("reason is null").select(_IN).mapInArrow(run, kind)
-        bad = found.where("reason is not null").select(
-            F.lit("error").alias("kind"), "url", "depth", "backlink", "path", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("link"), F.lit(0).alias("pc"), F.lit(-1).alias("expand"),
-            "reason", F.coalesce("status", F.lit(0)).alias("status"), F.when(missing, "not in the corpus").otherwise(F.col("error")).alias("exception"),
-        )
-        level = written(good.unionByName(bad), "level")
+        found = found.withColumn("reason", reason).withColumn("latency", F.col("response_end") - F.col("request_start")).withColumn("exception", F.when(missing, "not in the corpus").otherwise(F.col("error")))
+        found = found.withColumn("html", F.when(F.col("reason").isNull(), F.col("html")))
+        level = written(found.select(_IN).mapInArrow(run, kind), "level")  # in one pass, so that pages are joined once
         yield level
         if depth == most:
             return

@@ -45,10 +45,12 @@ def corpus(pages: DataFrame) -> DataFrame:
     have = {c.lower() for c in pages.columns}
     asked = F.col("request_url" if "request_url" in have else "url").alias("asked")
     df = pages.select(asked, "url", "html", *(F.col(c) if c in have else F.expr(e).alias(c) for c, e in _DEFAULTS.items())).where("asked is not null")
-    several = df.groupBy("asked").count().where("count > 1").select("asked")
+    # told by hashes first, which are shorter than URLs: a few others that share one do no harm
+    key = F.xxhash64("asked")
+    several = written(df.groupBy(key.alias("key")).count().where("count > 1").select("key"), "several")
     if several.isEmpty():
         return df
-    several = small(written(several, "several"))
+    several = small(written(df.withColumn("key", key).join(small(several), "key", "left_semi").groupBy("asked").count().where("count > 1").select("asked"), "several"))
     one = df.join(several, "asked", "left_semi").groupBy("asked").agg(F.min_by(F.struct(*df.columns), F.struct(F.col("html").isNull(), "html", F.coalesce("url", F.lit("")))).alias("row"))
     return df.join(several, "asked", "left_anti").unionByName(one.select("row.*"))
 
